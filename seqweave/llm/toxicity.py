@@ -10,7 +10,7 @@ is the number of different words that it follows there, so that copies of a docu
 support is (log-likelihood ratio), clean if it has support in clean documents.  Landmarks are drawn from both; words
 become vectors of kernels with the landmarks, whitened; a linear machine with squared hinge loss is fitted on them,
 each word weighted by its support.  A document's margin is that of its worst word; on labelled documents that were kept
-apart, margins are calibrated to probabilities.
+apart, margins are calibrated so that the best cut scores THRESHOLD.
 
 Scoring.  The machine is linear in the subsequences, so weights of landmarks are folded into one weight a subsequence
 and no landmark is visited.  Each distinct word is scored once a worker.
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
 
 
 def calibrated(docs: DataFrame, ids: DataFrame, model: Model) -> Model:
-    """Logistic fit of labels on margins of the documents kept apart (of all, if a class has none there)."""
+    """Scale and shift that put the best cut, on documents kept apart (on all, if a class has none there), at THRESHOLD."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,18 +316,21 @@ def calibrated(docs: DataFrame, ids: DataFrame, model: Model) -> Model:
         m, y = m[apart], y[apart]
     if len(set(y.tolist())) < 2:
         return model
-    mean, spread = m.mean(), m.std() + 1e-9
-    x = np.column_stack([(m - mean) / spread, np.ones(len(m))])
-    w = np.zeros(2)
-    keep = np.array([1e-2, 1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ (p - y) + keep * w
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(keep), grad)
-        w = w - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return Model(model.alphabet, model.weights, model.bias, float(w[0] / spread), float(w[1] - w[0] * mean / spread))
+    cut = best_cut(m, y)
+    scale = 6 / max(1e-6, abs(m[y > 0].mean() - m[y == 0].mean()))
+    return Model(model.alphabet, model.weights, model.bias, scale, float(np.log(THRESHOLD / (1 - THRESHOLD)) - scale * cut))
+
+
+def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the best F1 of class 1 at or above it; of equals, the middle of the widest gap."""
+    order = np.argsort(-margin, kind="stable")
+    m, hits = margin[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(m) + 1) + y.sum())
+    gap = m - np.append(m[1:], m[-1] - 1)  # a cut lies below m[i] and above m[i + 1]
+    f1 = np.where(gap > 0, f1, -1)
+    best = np.nonzero(f1 >= f1.max() - 1e-12)[0]
+    i = best[np.argmax(gap[best])]
+    return float(m[i] - gap[i] / 2)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
