@@ -185,7 +185,7 @@ def sample_ids(labels: DataFrame, usable: Column, label: str, per_class: int) ->
     rows = rows.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     rows = rows.withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
     picks = [rows.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    return picks[0].union(picks[1]).select("doc_id", "y", (F.conv(F.substring("h", 1, 2), 16, 10).cast("int") < 64).alias("apart"))
+    return picks[0].union(picks[1]).select("doc_id", "y", (F.conv(F.substring("h", 31, 2), 16, 10).cast("int") < 64).alias("apart"))
 
 
 def labelled_words(docs: DataFrame, ids: DataFrame) -> DataFrame:
