@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence.
 
 A document's histogram of character classes and its histogram of common words are compared with references of its
-language by the Jensen-Shannon distance (base 2, 0 to 1).  The references are sums over all documents of the language;
-the common words are its COMMON most frequent words, and "any other word" is one more bin.  A document too short for a
-histogram to mean anything is not judged by it: MIN_CHARS, MIN_WORDS.
+language by the Jensen-Shannon distance (base 2, 0 to 1).  The references come from all documents of the language: the
+median share of each character class, which junk moves little, and the summed counts of the COMMON most frequent words,
+with "any other word" as one more bin.  A document too short for a histogram to mean anything is not judged by it
+(MIN_CHARS, MIN_WORDS), and the allowed distance shrinks with the square root of the length, as sampling noise does.
 
 The base rules need no reference: too few words, or too many words inside repeated windows of WINDOW words.
 
@@ -27,7 +28,10 @@ from . import common
 WINDOW = 8
 COMMON = 60
 MIN_CHARS, MIN_WORDS, MIN_DOCS = 100, 200, 20
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.75
+#: Allowed distance: first number, plus second over the square root of the characters or words.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = (0.10, 3.6), (0.27, 1.4)
+#: Shares of a class are counted in bins of their square root.
+BINS = 1000
 SYMBOLS = b"#*$%&|<>"
 #: Distinct words that are counted before their counts leave the worker.
 FLUSH = 300_000
@@ -104,7 +108,7 @@ def base(text: str | None) -> tuple[tuple[int, int, int, int, int], list[bytes],
 
 
 def references(docs: DataFrame) -> dict[str | None, dict]:
-    """By language: docs, classes (counts by class), words (the common words' counts), n_words.  Over all documents."""
+    """By language: classes (documents by class and bin), words (the common words' counts), n_words.  Over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str | None, tuple[Counter, np.ndarray]] = {}
@@ -113,8 +117,7 @@ def references(docs: DataFrame) -> dict[str | None, dict]:
             rows: list[tuple[str | None, str, bytes, int]] = []
             for lang, (words, sums) in counts.items():
                 rows += [(lang, "word", w, n) for w, n in words.items()]
-                rows += [(lang, "class", str(k).encode(), int(n)) for k, n in enumerate(sums[:-1])]
-                rows.append((lang, "docs", b"", int(sums[-1])))
+                rows += [(lang, "class", f"{k}:{at}".encode(), int(sums[k, at])) for k, at in zip(*np.nonzero(sums), strict=True)]
             counts.clear()
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
             kinds = (pa.string(), pa.string(), pa.binary(), pa.int64())
@@ -123,10 +126,12 @@ def references(docs: DataFrame) -> dict[str | None, dict]:
         for b in common.slices(batches, 500):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                words, sums = counts.setdefault(lang, (Counter(), np.zeros(len(CLASSES) + 1, np.int64)))
+                words, sums = counts.setdefault(lang, (Counter(), np.zeros((len(CLASSES), BINS + 1), np.int64)))
                 words.update(data.lower().split())
-                sums[:-1] += classes(data)[1]
-                sums[-1] += 1
+                by_class = classes(data)[1]
+                if by_class.sum() >= MIN_CHARS:
+                    at = np.rint(np.sqrt(by_class / by_class.sum()) * BINS).astype(np.int64)
+                    sums[np.arange(len(CLASSES)), at] += 1
             if sum(len(w) for w, _ in counts.values()) > FLUSH:
                 yield flush()
         yield flush()
@@ -144,13 +149,11 @@ def references(docs: DataFrame) -> dict[str | None, dict]:
     found: dict[str | None, dict] = {}
 
     def of(lang: str | None) -> dict:
-        return found.setdefault(lang, {"docs": 0, "classes": np.zeros(len(CLASSES)), "words": {}, "n_words": 0})
+        return found.setdefault(lang, {"classes": np.zeros((len(CLASSES), BINS + 1)), "words": {}, "n_words": 0})
 
-    for r in rows.where("kind <> 'word'").toLocalIterator():  # a few rows a language
-        if r.kind == "docs":
-            of(r.lang)["docs"] = r.n
-        else:
-            of(r.lang)["classes"][int(r.key)] = r.n
+    for r in rows.where("kind = 'class'").toLocalIterator():  # len(CLASSES) * BINS rows a language at most
+        k, at = map(int, bytes(r.key).split(b":"))
+        of(r.lang)["classes"][k, at] = r.n
     for r in totals.toLocalIterator():
         of(r.lang)["n_words"] = r.n_words
     for r in top.toLocalIterator():  # COMMON rows a language
@@ -164,14 +167,17 @@ def prepared(found: dict[str | None, dict]) -> dict:
     def shares(x: dict) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
         words = sorted(x["words"].items(), key=lambda w: (-w[1], w[0]))[:COMMON]
         counts = np.array([n for _, n in words] + [max(0, x["n_words"] - sum(n for _, n in words))], float)
-        return x["classes"] / max(1, x["classes"].sum()), {w: i for i, (w, _) in enumerate(words)}, counts / max(1, counts.sum())
+        below = np.cumsum(x["classes"], 1)
+        middle = (below * 2 < below[:, -1:]).sum(1) / BINS
+        usual = middle**2
+        return usual / max(1e-9, usual.sum()), {w: i for i, (w, _) in enumerate(words)}, counts / max(1, counts.sum())
 
-    every = {"classes": np.zeros(len(CLASSES)), "words": Counter(), "n_words": 0}
+    every = {"classes": np.zeros((len(CLASSES), BINS + 1)), "words": Counter(), "n_words": 0}
     for x in found.values():
         every["classes"] = every["classes"] + x["classes"]
         every["words"].update(x["words"])
         every["n_words"] += x["n_words"]
-    return {"whole": shares(every), "by": {k: shares(x) for k, x in found.items() if x["docs"] >= MIN_DOCS}}
+    return {"whole": shares(every), "by": {k: shares(x) for k, x in found.items() if x["classes"][0].sum() >= MIN_DOCS}}
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -185,6 +191,10 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
 
 
+def allowed(distance: float | None, limits: tuple[float, float], size: int) -> bool:
+    return distance is None or bool(distance <= limits[0] + limits[1] / size**0.5)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance (null where not judged), kept."""
     docs = docs.select("doc_id", "text", "lang")
@@ -207,7 +217,7 @@ def judge(docs: DataFrame) -> DataFrame:
                     for w, n in Counter(words).items():
                         got[known.get(w.lower(), -1)] += n
                     d_word = distance(got / got.sum(), word_shares)
-                kept = not failed and (d_class or 0) <= MAX_CLASS_DISTANCE and (d_word or 0) <= MAX_WORD_DISTANCE
+                kept = not failed and allowed(d_class, MAX_CLASS_DISTANCE, by_class.sum()) and allowed(d_word, MAX_WORD_DISTANCE, len(words))
                 rows.append((*counts, failed, d_class, d_word, kept))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
