@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality_knn, quality_rules, simhash, toxicity
+from . import bpe, exact_dedup, html_text, mixing, quality_knn, quality_rules, simhash, toxicity, warc
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,6 +47,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
 OP1_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -73,6 +81,26 @@ SELECT doc_id, size, source_size, target,
 FROM epochs
 """
 
+# SHA-1 in base32: the hex digits as bits, taken five at a time.
+OP2_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), i -> format('{:04b}', strpos('0123456789abcdef', substr(hex, i::INT, 1)) - 1)), '') AS b
+  FROM hashed),
+named AS (
+  SELECT page_id, payload_bytes, hex,
+         array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (1 + 16 * substr(b, (5 * i + 1)::INT, 1)::INT + 8 * substr(b, (5 * i + 2)::INT, 1)::INT + 4 * substr(b, (5 * i + 3)::INT, 1)::INT
+              + 2 * substr(b, (5 * i + 4)::INT, 1)::INT + substr(b, (5 * i + 5)::INT, 1)::INT)::INT, 1)), '') AS payload_digest,
+         min(page_id) OVER (PARTITION BY hex) AS first_id
+  FROM bits)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM named
+"""
+
 OP4_SQL = r"""
 WITH docs AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -90,14 +118,16 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_warc": op2_warc,
         "op3_toxicity": op3_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_quality_knn": op7_quality_knn,
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
+        "op10_html_text": op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL}
