@@ -204,9 +204,11 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row to archives in folder; archive, records of each."""
-    text = F.substring(common.text_of("html"), 1, SAMPLE_CHARS)
-    some = pages.select("page_id", text.alias("t")).orderBy(F.md5(F.col("page_id").cast("string").cast("binary")), "page_id")
-    dictionary = train([r.t.encode("utf-8", "surrogatepass") for r in some.limit(SAMPLE_PAGES).select("t").collect()])
+    # Ids alone are ranked, so what tasks send for the sample does not carry pages.
+    ranked = pages.select("page_id").where("page_id IS NOT NULL").orderBy(F.md5(F.col("page_id").cast("string").cast("binary")), "page_id")
+    some = pages.join(F.broadcast(ranked.limit(SAMPLE_PAGES).distinct()), "page_id", "left_semi")
+    samples = some.select(F.substring(common.text_of("html"), 1, SAMPLE_CHARS).alias("t")).limit(2 * SAMPLE_PAGES).collect()
+    dictionary = train([r.t.encode("utf-8", "surrogatepass") for r in samples])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
