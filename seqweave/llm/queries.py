@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, mixing, quality_knn, quality_rules, simhash, toxicity, warc
+from . import bpe, exact_dedup, html_text, license_scan, mixing, quality_knn, quality_rules, simhash, toxicity, warc
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judge(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -86,11 +90,11 @@ OP2_SQL = r"""
 WITH hashed AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 bits AS (
-  SELECT *, array_to_string(list_transform(range(1, 41), i -> format('{:04b}', strpos('0123456789abcdef', substr(hex, i::INT, 1)) - 1)), '') AS b
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: format('{:04b}', strpos('0123456789abcdef', substr(hex, i::INT, 1)) - 1)), '') AS b
   FROM hashed),
 named AS (
   SELECT page_id, payload_bytes, hex,
-         array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            (1 + 16 * substr(b, (5 * i + 1)::INT, 1)::INT + 8 * substr(b, (5 * i + 2)::INT, 1)::INT + 4 * substr(b, (5 * i + 3)::INT, 1)::INT
               + 2 * substr(b, (5 * i + 4)::INT, 1)::INT + substr(b, (5 * i + 5)::INT, 1)::INT)::INT, 1)), '') AS payload_digest,
          min(page_id) OVER (PARTITION BY hex) AS first_id
@@ -115,12 +119,41 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def _op5_sql() -> str:
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in sorted(license_scan.TEMPLATES.items()))
+    split = "string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+    leads = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, license_scan.SHINGLE))])
+    return rf"""
+WITH templates AS (SELECT * FROM (VALUES {rows}) t(license, text)),
+template_words AS (SELECT license, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos FROM (
+  SELECT license, {split.format("text")} AS words FROM templates)),
+template_shingles AS (
+  SELECT license, count(*) OVER (PARTITION BY license) AS span, shingle FROM (
+    SELECT license, {leads} AS shingle FROM template_words WINDOW o AS (PARTITION BY license ORDER BY pos)) WHERE shingle IS NOT NULL),
+template_sizes AS (SELECT license, count(DISTINCT shingle) AS n FROM template_shingles GROUP BY license),
+doc_words AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos FROM (
+  SELECT doc_id, {split.format("coalesce(text, '')")} AS words FROM documents)),
+doc_shingles AS (
+  SELECT doc_id, pos, {leads} AS shingle FROM doc_words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+hits AS (
+  SELECT DISTINCT d.doc_id, t.license, d.pos, d.shingle, t.span FROM doc_shingles d JOIN template_shingles t USING (shingle)),
+windows AS (
+  SELECT *, unnest([pos // span, pos // span - 1]) AS part FROM hits),
+shares AS (
+  SELECT doc_id, license, part, count(DISTINCT shingle) / any_value(n) AS containment, min(pos) AS pos
+  FROM windows JOIN template_sizes USING (license) WHERE part >= 0 GROUP BY doc_id, license, part)
+SELECT doc_id, license, max(containment) AS containment, min(pos)::BIGINT AS first_word
+FROM shares WHERE containment >= {license_scan.MIN_CONTAINMENT} GROUP BY doc_id, license
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_warc": op2_warc,
         "op3_toxicity": op3_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_quality_knn": op7_quality_knn,
         "op8_simhash": op8_simhash,
@@ -130,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_license_scan": _op5_sql()}
