@@ -45,6 +45,8 @@ LANDMARKS = 512
 SIGNIFICANT = 12.0
 THRESHOLD = 0.3
 MEMO = 400_000
+#: Words that are kernels with all landmarks at once, when learning.
+BLOCK = 256
 #: (second, third) offsets of a subsequence from its first character, and its weight.
 STEPS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 
@@ -209,17 +211,22 @@ def labelled_words(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the margin violators."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
-    keep = np.full(len(w), penalty)
+    """Linear machine with squared hinge loss, by Newton steps on the margin violators, summed in blocks of rows."""
+    n = x.shape[1]
+    w = np.zeros(n + 1)
+    keep = np.full(n + 1, penalty)
     keep[-1] = 1e-8
     for _ in range(rounds):
-        out = 1 - y * (x1 @ w)
-        hot = out > 0
-        xa, c = x1[hot], cost[hot]
-        grad = keep * w - xa.T @ (c * y[hot] * out[hot])
-        step = np.linalg.solve(xa.T @ (xa * c[:, None]) + np.diag(keep), grad)
+        grad, curve = keep * w, np.diag(keep)
+        for at in range(0, len(x), BLOCK):
+            some = slice(at, at + BLOCK)
+            rows = np.hstack([x[some].astype(np.float64), np.ones((len(x[some]), 1))])
+            out = 1 - y[some] * (rows @ w)
+            hot = out > 0
+            rows, c = rows[hot], cost[some][hot]
+            grad -= rows.T @ (c * y[some][hot] * out[hot])
+            curve += rows.T @ (rows * c[:, None])
+        step = np.linalg.solve(curve, grad)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -279,15 +286,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     column = np.full(1 << 18, -1, np.int64)
     column[kinds] = np.arange(len(kinds))
     words = toxic + clean
-    x = np.zeros((len(words), white.shape[1]))
-    for at in range(0, len(words), 1024):
-        row, sub, weight, n = mapped(words[at : at + 1024])
+    x = np.zeros((len(words), white.shape[1]), np.float32)
+    for at in range(0, len(words), BLOCK):
+        row, sub, weight, n = mapped(words[at : at + BLOCK])
         known = column[sub] >= 0
-        kernel = np.zeros((n, phi.shape[0]))
         dense = np.zeros((n, len(kinds)))
         dense[row[known], column[sub[known]]] = weight[known]
-        kernel = dense @ phi.T
-        x[at : at + n] = kernel @ white
+        x[at : at + n] = dense @ phi.T @ white
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
     cost = np.concatenate([0.5 * np.array(x, float) / sum(x) for x in support])
     w, bias = fit_machine(x, y, cost)
