@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Documents that meet in one fine range, about.
-RANGE_ROWS = 1000
+RANGE_ROWS = 250
 #: Fine ranges that meet in one coarse range, about.
 RANGES_A_COARSE = 256
 CYCLE = (1, 2, 3)
@@ -113,9 +113,9 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = MAX_EPOCHS) -> Dat
     Rows alike in doc_id, source and size are taken as often as the luckiest of them.
     """
     plan = mix_plan(docs, seed, max_epochs, cut="document").where("taken > 0")
-    keys = {"_id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "_src": source_key()}
-    copies = plan.select(keys["_id"].alias("_id"), F.col("src").alias("_src"), F.col("size").alias("_size"), "taken")
-    copies = copies.groupBy("_id", "_src", "_size").agg(F.max(F.col("taken") / F.col("_size")).cast("int").alias("_copies"))
-    own = docs.withColumns(keys | {"_size": common.word_count(common.text_of())})
-    joined = own.join(copies, ["_id", "_src", "_size"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    keys = {"__sw_id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "__sw_src": source_key()}
+    copies = plan.select(keys["__sw_id"].alias("__sw_id"), F.col("src").alias("__sw_src"), F.col("size").alias("__sw_size"), "taken")
+    copies = copies.groupBy("__sw_id", "__sw_src", "__sw_size").agg(F.max(F.col("taken") / F.col("__sw_size")).cast("int").alias("__sw_copies"))
+    own = docs.withColumns(keys | {"__sw_size": common.word_count(common.text_of())})
+    joined = own.join(copies, ["__sw_id", "__sw_src", "__sw_size"])
+    return joined.withColumn("__sw_copy", F.explode(F.sequence(F.lit(1), F.col("__sw_copies")))).select(*docs.columns)
