@@ -72,10 +72,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id and its text come once; which one is open only if their other columns differ.
     """
-    kept = exact_dedup(docs).where("kept").select(_row_key("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumns({"_key": _row_key("doc_id"), "_sha": F.sha2(normalised(common.text_of()).cast("binary"), 256)})
-    # Both steps need rows by (_key, _sha): the texts are shuffled once.
-    out = own.join(kept.distinct(), ["_key", "_sha"]).dropDuplicates(["_key", "_sha"])
+    kept = exact_dedup(docs).where("kept").select(_row_key("doc_id").alias("__sw_key"), F.col("text_sha256").alias("__sw_sha"))
+    own = docs.withColumns({"__sw_key": _row_key("doc_id"), "__sw_sha": F.sha2(normalised(common.text_of()).cast("binary"), 256)})
+    # Both steps need rows by (__sw_key, __sw_sha): the texts are shuffled once.
+    out = own.join(kept.distinct(), ["__sw_key", "__sw_sha"]).dropDuplicates(["__sw_key", "__sw_sha"])
     return out.select(*docs.columns)
 
 

@@ -301,4 +301,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest id of their component, with their columns."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
+    return docs.join(kept.withColumnRenamed("doc_id", "__sw_kept"), F.col("doc_id").eqNullSafe(F.col("__sw_kept"))).drop("__sw_kept")

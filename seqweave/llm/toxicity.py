@@ -339,11 +339,11 @@ def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a double column _toxicity added."""
+    """docs with a double column __sw_toxicity added."""
     import uuid
 
     if model is None:
-        return docs.withColumn("_toxicity", F.lit(0.0))
+        return docs.withColumn("__sw_toxicity", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
@@ -351,10 +351,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         s = scorer(key, shared.value)
         for b in common.slices(batches, 500):
             p = shared.value.probability(s.worst(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "__sw_toxicity"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return common.map_batches(docs, run, f"{fields}, _toxicity double")
+    return common.map_batches(docs, run, f"{fields}, __sw_toxicity double")
 
 
 def usable() -> Column:
@@ -368,12 +368,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         F.coalesce(common.held_out(F.col("doc_id"), 4, 2), F.lit(False)).alias("held_out"),
-        F.col("_toxicity").alias("score"),
-        (F.col("_toxicity") >= THRESHOLD).cast("int").alias("predicted"),
+        F.col("__sw_toxicity").alias("score"),
+        (F.col("__sw_toxicity") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
     model = fit(docs.select("doc_id", "text"), labels, usable())
-    return score(docs, model).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return score(docs, model).where(F.col("__sw_toxicity") < THRESHOLD).drop("__sw_toxicity")
