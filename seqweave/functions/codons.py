@@ -27,8 +27,7 @@ def codon_usage(coding: DataFrame, organism: str = "organism", text: str = "sequ
 def parse_usage(tables: DataFrame, organism: str = "organism", text: str = "text") -> DataFrame:
     """organism, codon, aa, fraction, frequency from texts of "codon fraction frequency" triples, as usage databases print them."""
     triples = F.regexp_extract_all(F.col(text), F.lit(r"([ACGTUacgtu]{3}\s+[\d.]+\s+[\d.]+)"), F.lit(1))
-    parts = F.split(F.explode(triples), r"\s+")
-    rows = tables.select(organism, parts.alias("p"))
+    rows = tables.select(organism, F.explode(triples).alias("t")).select(organism, F.split("t", r"\s+").alias("p"))
     codon = F.translate(F.upper(F.col("p")[0]), "U", "T")
     return rows.select(organism, codon.alias("codon"), translate_codon(codon).alias("aa"), F.col("p")[1].cast("double").alias("fraction"), F.col("p")[2].cast("double").alias("frequency"))
 

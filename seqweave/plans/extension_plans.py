@@ -62,8 +62,8 @@ SELECT query_id, {REV.format("any_value(sequence)")} AS rc, round(length(regexp_
 
 
 def safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row ids of each source's documents, named by language, in order of id."""
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(" ", "lang", F.lit("(x)")).alias("name")))).alias("rows"))
+    """Row ids of alignments of a hundred documents, named by language, in order of id."""
+    d = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("alignment")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(" ", "lang", F.lit("(x)")).alias("name")))).alias("rows"))
 
     def run(rows: list) -> list[dict]:
         return [{"doc_id": r["doc_id"], "id": i} for r, i in zip(rows, M.safe_ids([r["name"] for r in rows]), strict=True)]
@@ -71,8 +71,8 @@ def safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.parsed(d, run, ["rows"], "doc_id long, id string")
 
 
-SAFE_SQL = """SELECT source, doc_id, lang || '__x_' || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS id
-FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)"""
+SAFE_SQL = """SELECT doc_id // 100 AS alignment, doc_id, lang || '__x_' || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS id
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 100, lang ORDER BY doc_id) AS n FROM documents)"""
 
 QUERIES = {
     "align_reads": (align_reads, None),
