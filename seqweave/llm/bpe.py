@@ -28,7 +28,7 @@ from . import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct matches that a worker remembers; beyond it, the older half goes.
-MEMO = 400_000
+MEMO = 240_000
 #: Positions (matches times padded length) that trees are built for at once.
 POSITIONS = 1 << 19
 NONE = np.int64(1 << 62)

@@ -39,7 +39,7 @@ SAMPLE = 2500
 NEIGHBOURS = 25
 POWER = 8
 THRESHOLD = 0.3
-MEMO = 400_000
+MEMO = 200_000
 BLOCK = 512
 
 

@@ -46,7 +46,7 @@ SIGNIFICANT = 12.0
 THRESHOLD = 0.3
 #: Clean documents are to be kept: precision weighs more in the cut, which stays on the toxic side of the machine.
 BETA, MIN_CUT = 0.5, 0.5
-MEMO = 400_000
+MEMO = 150_000
 #: Words that are kernels with all landmarks at once, when learning.
 BLOCK = 256
 #: (second, third) offsets of a subsequence from its first character, and its weight.
@@ -139,8 +139,8 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), -np.inf)
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
             rows, owner = encode(some, self.alphabet)
             row, sub, weight = subsequences(rows)
             norm = np.sqrt(np.bincount(row, weight * weight, len(rows)))
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(key, shared.value)
-        for b in common.slices(batches, 500):
+        for b in common.slices(batches, 250):
             p = shared.value.probability(s.worst(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "__sw_toxicity"])
 
