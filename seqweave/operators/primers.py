@@ -38,11 +38,11 @@ def primer_search(templates: DataFrame, primers: DataFrame, min_anneal: int = MI
     n = F.length("sequence")
     pad = F.when(F.col("circular"), F.greatest(F.lit(0), F.least(F.lit(longest - 1), n - 1))).otherwise(0)
     padded = templates.select("file", n.alias("n"), F.concat("sequence", F.substr(F.col("sequence"), F.lit(1), pad)).alias("T"))
-    hits = kmers(padded, "T", K, "at", "kmer").join(small(ahead.union(back)), F.col("kmer") == F.col("anchor"))
-    m, at = F.length("Q"), F.col("at")
-    reach = F.least(at, m - K)
-    left = common_prefix(F.reverse(F.substr(F.col("T"), at - reach + 1, reach)), F.reverse(F.substr(F.col("Q"), m - K - reach + 1, reach)))
-    right = common_prefix(F.substr(F.col("T"), at + K + 1, m - K), F.substr(F.col("Q"), F.lit(K + 1)))
+    hits = kmers(padded, "T", K, longest, longest).join(small(ahead.union(back)), F.col("kmer") == F.col("anchor"))
+    m, at, i = F.length("Q"), F.col("at"), F.col("_i")
+    reach = F.least(i, m - K)
+    left = common_prefix(F.reverse(F.substr(F.col("chunk"), i - reach + 1, reach)), F.reverse(F.substr(F.col("Q"), m - K - reach + 1, reach)))
+    right = common_prefix(F.substr(F.col("chunk"), i + K + 1, m - K), F.substr(F.col("Q"), F.lit(K + 1)))
     hits = hits.withColumn("anneal", K + F.when(F.col("strand") == 1, left).otherwise(right)).where(F.col("anneal") >= least)
     forward = F.col("strand") == 1
     first = F.when(forward, at + K - F.col("anneal")).otherwise(at)

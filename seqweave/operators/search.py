@@ -32,19 +32,19 @@ def both_strands(queries: DataFrame, text: str = "sequence") -> DataFrame:
 
 
 def occurrences(targets: DataFrame, text: str, probes: DataFrame, probe: str = "probe") -> DataFrame:
-    """Every occurrence of each probe in each target's text, overlaps included: the columns of both, and at.
+    """Every occurrence of each probe in each target's text, overlaps included: the other columns of both, and at.
 
     Targets and probes must not share column names.
     """
     probes = probes.where(F.length(probe) > 0)
-    least = probes.agg(F.min(F.length(probe))).first()[0]
+    least, most = probes.agg(F.min(F.length(probe)), F.max(F.length(probe))).first()
     if least is None:
-        return targets.join(probes, F.lit(False)).withColumn("at", F.lit(0))
+        return targets.drop(text).join(probes, F.lit(False)).withColumn("at", F.lit(0))
     k = min(PREFIX, least)
     keyed = probes.withColumn("_key", F.substr(F.col(probe), F.lit(1), F.lit(k)))
-    found = kmers(targets, text, k, "at", "_kmer").join(small(keyed), F.col("_kmer") == F.col("_key"))
-    exact = F.substr(F.col(text), F.col("at") + 1, F.length(probe)) == F.col(probe)
-    return found.where(exact).drop("_kmer", "_key")
+    found = kmers(targets, text, k, 0, most - 1, kmer="_kmer").join(small(keyed), F.col("_kmer") == F.col("_key"))
+    exact = F.substr(F.col("chunk"), F.col("_i") + 1, F.length(probe)) == F.col(probe)
+    return found.where(exact).drop("_kmer", "_key", "_i", "chunk", "chunk_at", "chunk_base")
 
 
 def exact_search(corpus: DataFrame, queries: DataFrame) -> DataFrame:
@@ -52,8 +52,7 @@ def exact_search(corpus: DataFrame, queries: DataFrame) -> DataFrame:
 
     corpus: file, name, sequence; queries: query_id, sequence.  Targets are linear.
     """
-    probes = both_strands(queries.select("query_id", F.col("sequence").alias("query"))
-                          , "query").drop("query")
+    probes = both_strands(queries.select("query_id", F.col("sequence").alias("query")), "query").drop("query")
     hits = occurrences(corpus.select("file", "name", "sequence"), "sequence", probes)
     n = F.length("probe").cast("long")
     return hits.select(
@@ -272,7 +271,7 @@ def find_with_mismatches(targets: DataFrame, queries: DataFrame, most: int = 2)
     """
     probes = both_strands(queries.select("query_id", F.col("sequence").alias("query")), "query").drop("query")
     probes = probes.where(F.length("probe") > most)
-    least = probes.agg(F.min(F.length("probe"))).first()[0]
+    least, longest = probes.agg(F.min(F.length("probe")), F.max(F.length("probe"))).first()
     if least is None:
         return targets.select("file").limit(0).select(F.lit(0).alias("query_id"), "file", F.lit(1).alias("strand"), F.lit(0).alias("start"), F.lit(0).alias("end"))
     k = min(PREFIX, least // (most + 1))
@@ -280,10 +279,10 @@ def find_with_mismatches(targets: DataFrame, queries: DataFrame, most: int = 2)
     pieces = probes.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: i * piece)).alias("piece_at"))
     pieces = pieces.withColumn("_key", F.substr(F.col("probe"), F.col("piece_at") + 1, F.lit(k)))
     doubled = targets.select("file", F.length("sequence").alias("n"), F.when(F.col("circular"), F.concat("sequence", "sequence")).otherwise(F.col("sequence")).alias("text"))
-    found = kmers(doubled, "text", k, "at", "_kmer").join(small(pieces), F.col("_kmer") == F.col("_key"))
-    found = found.withColumn("start", F.col("at") - F.col("piece_at"))
-    found = found.where((F.col("start") >= 0) & (F.col("start") + F.length("probe") <= F.length("text")))
-    window = F.substr(F.col("text"), F.col("start") + 1, F.length("probe"))
+    found = kmers(doubled, "text", k, 0, longest - 1, whole=True, kmer="_kmer").join(small(pieces), F.col("_kmer") == F.col("_key"))
+    local = F.col("_i") - F.col("piece_at")
+    found = found.withColumn("start", F.col("at") - F.col("piece_at")).where((local >= 0) & (local + F.length("probe") <= F.length("chunk")))
+    window = F.substr(F.col("chunk"), local + 1, F.length("probe"))
     letters = F.zip_with(F.split(window, ""), F.split("probe", ""), lambda a, b: (a != b).cast("int"))
     misses = F.aggregate(letters, F.lit(0), lambda a, x: a + x)
     found = found.where(misses <= most)
