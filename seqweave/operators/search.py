@@ -22,6 +22,8 @@ MIN_IDENTITY, MIN_COVERAGE, DROP = 0.8, 0.5, 8
 TOP = 500
 #: Letters of probes that go to the executors at once; more are done block by block.
 PROBE_LETTERS = 4_000_000
+#: Letters of probes that are compared with a text at once.
+CELLS = 2_000_000
 
 
 def both_strands(queries: DataFrame, text: str = "sequence") -> DataFrame:
@@ -116,9 +118,13 @@ class Seeds:
     """First place of every k-mer of every probe, sorted, for lookups of whole texts at once."""
 
     def __init__(self, probes: list[str], k: int):
-        self.k, self.probes = k, [_codes(p) for p in probes]
+        self.k = k
+        codes = [_codes(p) for p in probes]
+        self.lengths = np.array([len(c) for c in codes], np.int64)
+        self.letters = np.zeros((len(codes), int(self.lengths.max(initial=1))), np.uint8)
         kmer, which, place = [], [], []
-        for i, p in enumerate(self.probes):
+        for i, p in enumerate(codes):
+            self.letters[i, : len(p)] = p
             values, first = np.unique(_rolled(p, k), return_index=True)
             kmer.append(values)
             which.append(np.full(len(values), i))
@@ -155,29 +161,32 @@ def _reach(match: np.ndarray, inside: np.ndarray, drop: int) -> tuple[np.ndarray
     return np.where(gain > 0, at + 1, 0), np.maximum(gain, 0)
 
 
-def extend(text: np.ndarray, probe: np.ndarray, q: np.ndarray, t: np.ndarray, k: int, drop: int = DROP) -> tuple[np.ndarray, ...]:
-    """(start, length, matches, score) of the ungapped match around each seed."""
-    m, n = len(probe), len(text)
-    back = np.arange(1, (int(q.max()) if len(q) else 0) + 1)
+def extend(text: np.ndarray, seeds: Seeds, which: np.ndarray, q: np.ndarray, t: np.ndarray, drop: int = DROP) -> tuple[np.ndarray, ...]:
+    """(start, length, matches, score) of the ungapped match around each seed; seeds of all probes at once."""
+    k, n, m = seeds.k, len(text), seeds.lengths[which]
+    row = which[:, None]
+    back = np.arange(1, int(q.max()) + 1)
     bq, bt = q[:, None] - back, t[:, None] - back
     inside = (bq >= 0) & (bt >= 0)
-    left, left_gain = _reach(probe[np.maximum(bq, 0)] == text[np.maximum(bt, 0)], inside, drop)
-    fore = np.arange(0, (m - k - int(q.min())) if len(q) else 0)
+    left, left_gain = _reach(seeds.letters[row, np.maximum(bq, 0)] == text[np.maximum(bt, 0)], inside, drop)
+    fore = np.arange(int((m - k - q).max()))
     fq, ft = q[:, None] + k + fore, t[:, None] + k + fore
-    inside = (fq < m) & (ft < n)
-    right, right_gain = _reach(probe[np.minimum(fq, m - 1)] == text[np.minimum(ft, n - 1)], inside, drop)
+    inside = (fq < m[:, None]) & (ft < n)
+    right, right_gain = _reach(seeds.letters[row, np.minimum(fq, m[:, None] - 1)] == text[np.minimum(ft, n - 1)], inside, drop)
     length, score = left + k + right, left_gain + k + right_gain
     return t - left, length, (length + score) // 2, score
 
 
 def _blocks(rows: list, letters: int) -> Iterator[list]:
-    block, size = [], 0
-    for r in rows:
-        if block and size + len(r["probe"]) > letters:
+    """rows in blocks whose probes, padded to the longest, have at most so many letters (or are one)."""
+    block: list = []
+    longest = 0
+    for r in sorted(rows, key=lambda r: len(r["probe"])):
+        longest = max(longest, len(r["probe"]))
+        if block and (len(block) + 1) * longest > letters:
             yield block
-            block, size = [], 0
+            block, longest = [], len(r["probe"])
         block.append(r)
-        size += len(r["probe"])
     if block:
         yield block
 
@@ -201,20 +210,20 @@ def seeded_search(
             by_k: dict[int, list[dict]] = {}
             for r in shared.value:
                 by_k.setdefault(r.get("k") or k, []).append(r)
-            seeds = [(kk, Seeds([r["probe"] for r in rows], kk), np.array([r["probe_no"] for r in rows])) for kk, rows in by_k.items()]
+            seeds = [(Seeds([r["probe"] for r in rows], kk), np.array([r["probe_no"] for r in rows])) for kk, rows in by_k.items()]
             for b in batches:
                 rows, parts = [], []
                 for i, s in enumerate(b.column(text).to_pylist()):
                     codes = _codes(s or "")
-                    for kk, index, numbers in seeds:
-                        which, q, t = index.of(codes)
-                        for w in np.unique(which):
-                            mine = which == w
-                            probe = index.probes[w]
-                            start, length, matches, score = extend(codes, probe, q[mine], t[mine], kk, drop)
-                            good = (matches / length >= min_identity) & (length >= len(probe) * min_coverage)
+                    for index, numbers in seeds:
+                        every = index.of(codes)
+                        size = max(1, CELLS // index.letters.shape[1])
+                        for at in range(0, len(every[0]), size):
+                            which, q, t = (x[at : at + size] for x in every)
+                            start, length, matches, score = extend(codes, index, which, q, t, drop)
+                            good = (matches / length >= min_identity) & (length >= index.lengths[which] * min_coverage)
                             if good.any():
-                                parts.append((np.full(int(good.sum()), numbers[w]), start[good], length[good], matches[good] / length[good], score[good]))
+                                parts.append((numbers[which[good]], start[good], length[good], matches[good] / length[good], score[good]))
                                 rows.append(np.full(int(good.sum()), i))
                 if rows:
                     kept = b.drop_columns([text]).take(pa.array(np.concatenate(rows)))

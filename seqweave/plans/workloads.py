@@ -15,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores, if its files make fewer tasks than there are: work a row outweighs one shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, file, name, sequence, circular."""
-    rows = table(spark, sf_dir, "documents")
+    rows = spread(table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file"), F.col("source").alias("name"),
         F.expr(BASES.format("text")).alias("sequence"), (F.col("doc_id") % 2 == 0).alias("circular"),
