@@ -65,14 +65,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target, system = _file_system(spark, path)
+    system.deleteOnExit(target)  # with the application, from any store
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's own file system, so any store works."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
 
 
 def ship(spark: SparkSession) -> None:
