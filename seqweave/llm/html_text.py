@@ -1,7 +1,7 @@
 """HTML extraction by tree scoring.
 
 A page is read into a light tree that follows the usual rules for omitted end tags.  Elements that are never article
-text are cut out by tag, role or class words.  Every text block then passes points, one for itself, one a comma and up
+text are cut out by tag, role or class words, unless one that is only marked by a word, or a form, holds the bulk of the page.  Every text block then passes points, one for itself, one a comma and up
 to three for length, to its parent, half of them to its grandparent and less to the ancestors above; an element's points
 are discounted by the share of its text that is in links.  The best element is the container; if it lies in an <article>
 or <main>, that is.  Siblings that score well, or read like prose, are kept with it.
@@ -28,16 +28,35 @@ BLOCK = frozenset(
     " form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table"
     " tbody td tfoot th thead tr ul".split()
 )
+#: How firmly an element is cut: MILD and FIRM ones are weighed against what is kept, LAST ones return only if nothing else is.
+MILD, FIRM, LAST, ALWAYS = 1, 2, 3, 4
 #: Never article text, whatever they hold.
-CUT = frozenset("nav header footer aside form button select menu dialog object search fieldset head canvas audio video".split())
+CUT = frozenset("nav button select menu head canvas audio video".split())
+#: Rarely article text; weighed.
+CUT_TAGS = dict.fromkeys("form fieldset object search".split(), MILD) | dict.fromkeys("header footer aside dialog".split(), FIRM)
 CUT_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar".split())
+ROLES_MILD = frozenset("form alert search".split())
 #: Words in class or id that mark what is not the article.
-CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation"
-    " menu menus breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notices popup modal"
-    " overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments"
-    " commentlist disqus reply replies respond widget widgets toolbar pagination pager login hidden toc skip alert".split()
+CUT_WORDS = (
+    dict.fromkeys("promo promotion banner header notice notices social related recommended recommendations widget widgets alert".split(), MILD)
+    | dict.fromkeys("sidebar footer masthead modal overlay toc".split(), FIRM)
+    | dict.fromkeys(
+        "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu menus breadcrumb breadcrumbs"
+        " cookie cookies consent gdpr popup newsletter subscribe subscription signup share sharing comment comments commentlist disqus reply"
+        " replies respond toolbar pagination pager login hidden skip".split(),
+        LAST,
+    )
 )
+#: A class or id with one of these parts says how the page is laid out or filed, not what the element is.
+LAYOUT = frozenset("with without no not non has have overflow backface layout template category tag status elementor".split())
+#: Parts that may follow the word that says what the element is.
+PLACES = frozenset(
+    "area articles bar block bottom box button buttons col column container desktop fixed form frame global group icon icons inner item items"
+    " label left link links list mobile outer panel post posts primary right row secondary section sections site slot sticky stories toggle top"
+    " unit units wrap wrapper zone".split()
+)
+#: Before "header" or "banner" these name a part of the article.
+PARTS = frozenset("article chapter content entry page post section story title".split())
 KEEP_TAGS = frozenset("html body main article".split())
 #: A start tag closes an open element of the same kind, looked for up to a boundary.
 CLOSES = {
@@ -60,32 +79,107 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: So many times the text kept holds an element that is kept in spite of a FIRM cut.
+FIRM_SHARE = 4
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
     __slots__ = ("children", "cut", "parent", "points", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
+    def __init__(self, tag: str, parent: Node | None, cut: int = 0):
         self.tag, self.parent, self.cut, self.points = tag, parent, cut, 0.0
         self.children: list[Node | str] = []
 
 
-def is_cut(tag: str, attributes: str) -> bool:
+def word_cut(name: str) -> int:
+    """How firmly a class or id cuts: its last part counts, or the last before PLACES."""
+    parts = WORD.findall(name)
+    if not LAYOUT.isdisjoint(parts):
+        return 0
+    while len(parts) > 1 and parts[-1] in PLACES and parts[-1] not in CUT_WORDS:
+        parts.pop()
+    if not parts or parts[-1] not in CUT_WORDS or (parts[-1] in ("header", "banner") and not PARTS.isdisjoint(parts[:-1])):
+        return 0
+    return max(CUT_WORDS.get(p, 0) for p in parts)
+
+
+def is_cut(tag: str, attributes: str, section: bool = False) -> int:
+    """How firmly an element is cut, 0 for not at all; section: it lies in an article or section, whose headers are its own."""
     if tag in CUT:
-        return True
+        return ALWAYS
+    cut = 0 if tag == "header" and section else CUT_TAGS.get(tag, 0)
     if not attributes or tag in KEEP_TAGS:
-        return False
+        return cut
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            if not CUT_WORDS.isdisjoint(WORD.findall(value)):
-                return True
-        elif (name == "role" and value in CUT_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        elif name == "style" and HIDDEN.search(value):
-            return True
-    return False
+            words = max(map(word_cut, value.split()), default=0)
+            cut = max(cut, words if words > MILD or tag not in HEADINGS else 0)
+        elif name == "role" and value in CUT_ROLES:
+            cut = max(cut, MILD if value in ROLES_MILD else FIRM if value not in ("navigation", "menu", "menubar", "toolbar") else ALWAYS)
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
+            return ALWAYS
+    return cut
+
+
+def weigh(root: Node) -> None:
+    """Takes back cuts of elements that hold the bulk of a page.  Sizes are characters outside links.
+
+    A MILD element is kept if it holds more than all that is kept; a FIRM one if it holds FIRM_SHARE times as much and no
+    <article> or <main> has text; of those not cut always, the largest of the least firm while nothing is kept.
+    """
+    order: list[tuple[Node, bool, bool]] = []
+    todo = [(root, False, False)]
+    while todo:
+        n, in_link, marked = todo.pop()
+        if n.cut < ALWAYS:
+            order.append((n, in_link, marked))
+            here = in_link or n.tag == "a", marked or n.tag in ("article", "main")
+            todo.extend((c, *here) for c in n.children if not isinstance(c, str))
+    if not any(n.cut for n, _, _ in order):
+        return
+    # Of each element: its text outside cuts, the same with MILD ones, with all.
+    sizes: dict[int, list[int]] = {}
+    for n, in_link, _ in reversed(order):
+        own = 0 if in_link or n.tag == "a" else sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        total = [own, own, own]
+        for c in n.children:
+            if not isinstance(c, str) and c.cut < ALWAYS:
+                got = sizes[id(c)]
+                total[0] += got[0] if not c.cut else 0
+                total[1] += got[1] if c.cut <= MILD else 0
+                total[2] += got[2]
+        sizes[id(n)] = total
+
+    def below(top: Node) -> list[Node]:
+        """The highest cut elements below top that are weighed."""
+        out, todo = [], [top]
+        while todo:
+            for c in todo.pop().children:
+                if not isinstance(c, str) and c.cut < ALWAYS:
+                    (out if c.cut else todo).append(c)
+        return out
+
+    places = {id(n): marked for n, _, marked in order}
+    kept, candidates = sizes[id(root)][0], below(root)
+    # Within an article or <main> a cut can only be taken back where it is the bulk of that.
+    has_article = any(not n.cut and n.tag in ("article", "main") and sizes[id(n)][0] for n, _, _ in order)
+    while candidates:
+        if kept:
+            fit = [n for n in candidates if n.cut == MILD and sizes[id(n)][1] > kept]
+            fit += [n for n in candidates if n.cut == FIRM and sizes[id(n)][2] > FIRM_SHARE * kept and (not has_article or places[id(n)])]
+        else:
+            fit = [n for n in candidates if sizes[id(n)][2]]
+            fit = [n for n in fit if n.cut == min(x.cut for x in fit)]
+        if not fit:
+            return
+        best = max(fit, key=lambda n: sizes[id(n)][2])
+        best.cut = 0
+        kept += sizes[id(best)][0]
+        candidates.remove(best)
+        candidates += below(best)
 
 
 def parse(html: str) -> Node:
@@ -130,7 +224,7 @@ def parse(html: str) -> Node:
             pop_to(("p",), P_BOUNDARY)
         if tag in CLOSES:
             pop_to(*CLOSES[tag])
-        node = Node(tag, stack[-1], is_cut(tag, m[3]))
+        node = Node(tag, stack[-1], is_cut(tag, m[3], tag == "header" and any(x.tag in ("article", "section") for x in stack)))
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -249,6 +343,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    weigh(root)
     found = blocks(root)
     chosen = container(found, root)
     if not chosen:

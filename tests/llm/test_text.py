@@ -124,6 +124,26 @@ def test_html_main_text(html, text):
     assert html_text.extract(html) == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "div class='content with-sidebar'", "div class=no-comments", "div class=overflow-hidden", "div class='elementor-widget elementor-widget-text'",
+        "form action=/page.aspx", "div class=promotion", "div class='modal'", "dialog open", "fieldset", "object",
+    ],
+)
+def test_html_keeps_the_bulk_of_a_page(wrapper):
+    tag = wrapper.split()[0]
+    page = f"<{wrapper}><h2 class=section-header>Head</h2><p>{PROSE}</p><section id=related-work><p>{PROSE}</p></section><div class=sidebar>x y</div></{tag}><div class=comments>{PROSE * 9}</div><footer>f</footer>"
+    assert html_text.extract(page) == f"Head\n\n{PROSE}\n\n{PROSE}"
+
+
+def test_html_still_cuts_marked_elements():
+    marked = ["related-posts", "ad-slot-1", "sidebar-left", "share buttons", "site-header", "comment-list", "newsletter-signup box", "main-nav"]
+    cut = "".join(f"<div class='{c}'>{PROSE}</div>" for c in marked)
+    assert html_text.extract(f"<div>{cut}<div><p>{PROSE}</p><p>{PROSE} Last.</p></div></div>") == f"{PROSE}\n\n{PROSE} Last."
+    assert html_text.extract(f"<article><header><h1>Own</h1></header><p>{PROSE}</p></article>") == f"Own\n\n{PROSE}"
+
+
 def test_html_deep_nesting_and_tables(spark):
     assert html_text.extract("<div>" * 5000 + f"<p>{PROSE}</p>") == PROSE
     rows = html_text.extract_pages(pages(spark, ROWS)).collect()
