@@ -3,8 +3,9 @@
 A page is read into a light tree that follows the usual rules for omitted end tags.  Elements that are never article
 text are cut out by tag, role or class words, unless one that is only marked by a word, or a form, holds the bulk of the page.  Every text block then passes points, one for itself, one a comma and up
 to three for length, to its parent, half of them to its grandparent and less to the ancestors above; an element's points
-are discounted by the share of its text that is in links.  The best element is the container; if it lies in an <article>
-or <main>, that is.  Siblings that score well, or read like prose, are kept with it.
+are discounted by the share of its text that is in links.  The best element is the container; if it lies in a <main>, that
+is, if in an <article>, all articles are.  Beside it and beside each element that holds it, text blocks, lists, tables and
+elements with a line of prose are kept, and what lies between, unless it is mostly links.
 
 Defined results: a null or empty page has the text ""; unknown tags are inline; a tag that the page's end cuts off is
 dropped; unclosed elements end with the page; repeated rows repeat; columns other than page_id, url and html are ignored.
@@ -80,6 +81,13 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table".split())
+#: Text of the article whatever its length, where it stands beside it.
+TEXT_TAGS = HEADINGS | LISTS | frozenset("p pre blockquote figure".split())
+#: Other elements beside the article are its text from so many characters outside links.
+MIN_TEXT = 80
+#: Links of a menu have so many words at most.
+LABEL_WORDS = 3
 #: So many times the text kept holds an element that is kept in spite of a FIRM cut.
 FIRM_SHARE = 4
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -285,7 +293,7 @@ def blocks(node: Node) -> list[tuple[Node, str, int]]:
 
 
 def container(found: list[tuple[Node, str, int]], root: Node) -> list[Node]:
-    """The best element and the siblings kept with it, in page order."""
+    """What holds the best element, or all articles, with what is kept beside them; the rest in it is cut."""
     texts: dict[int, list[int]] = {}
     nodes: dict[int, Node] = {}
     for holder, text, linked in found:
@@ -311,32 +319,85 @@ def container(found: list[tuple[Node, str, int]], root: Node) -> list[Node]:
         return n.points * (1 - linked / total)
 
     best = max(nodes.values(), key=discounted)
+    outer = None
     up = best
-    while up is not None and up.tag not in ("article", "main"):
+    while up is not None:
+        if up.tag == "article" or (up.tag == "main" and outer is None):
+            outer = up
         up = up.parent
-    if up is not None:
-        return [up]
-    if best.parent is None or best.tag in ("body", "html"):
-        return [best]
-    bar = max(10.0, 0.2 * discounted(best))
-    kept = []
-    for s in best.parent.children:
-        if isinstance(s, str) or s.cut:
-            continue
-        if s is best or (id(s) in nodes and discounted(s) >= bar):
-            kept.append(s)
-        elif s.tag in ("p", "pre", "blockquote", "h1", "h2", "h3"):
-            kept.append(s)
-    return kept
+    if outer is not None and outer.tag == "main":
+        return [outer]
+    if outer is not None:
+        # All articles that lie in no other, and what is kept beside them.
+        tops = [outer]
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            for c in n.children:
+                if not isinstance(c, str) and not c.cut:
+                    if c.tag != "article":
+                        todo.append(c)
+                    elif c is not outer and id(c) in texts and not linked_text(c, texts):
+                        tops.append(c)
+    else:
+        tops = [best]
+    # Up from the kept ones, siblings outside them are cut at each level, so that the root is left with what is kept.
+    kept = {id(n) for n in tops}
+    ways: dict[int, Node] = {}
+    for n in tops:
+        while n.parent is not None:
+            n = n.parent
+            ways[id(n)] = n
+    bar = min(MIN_TEXT, 0.2 * max(texts[id(n)][0] for n in tops))
+    for up in ways.values():
+        members = [c for c in up.children if not isinstance(c, str) and not c.cut]
+        on_way = [id(c) in kept or id(c) in ways for c in members]
+        good = on_way if outer is not None else [w or fits(c, texts, bar) for w, c in zip(on_way, members, strict=True)]
+        first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+        for k, c in enumerate(members):
+            if not on_way[k] and id(c) in texts and (not first <= k <= last or (not good[k] and boilerplate(c, texts))):
+                c.cut = ALWAYS
+        # Stray text outside is no element that could be cut.
+        if outer is not None:
+            a, b = up.children.index(members[first]), up.children.index(members[last])
+            up.children = [c for k, c in enumerate(up.children) if a <= k <= b or not isinstance(c, str)]
+    return [root]
+
+
+def linked_text(node: Node, texts: dict[int, list[int]]) -> bool:
+    """More than half of its text is in links."""
+    total, linked = texts[id(node)]
+    return linked > 0.5 * total
+
+
+def boilerplate(node: Node, texts: dict[int, list[int]]) -> bool:
+    """A menu, or an element of links that is no list."""
+    return menu(node) if node.tag in LISTS else linked_text(node, texts)
+
+
+def fits(node: Node, texts: dict[int, list[int]], bar: float) -> bool:
+    """A sibling of the article's best element that is the article's too: text blocks, lists and tables whatever their length."""
+    if id(node) not in texts or boilerplate(node, texts):
+        return False
+    total, linked = texts[id(node)]
+    return node.tag in TEXT_TAGS or total - linked >= bar
 
 
-def link_list(node: Node) -> bool:
-    """A list that is nearly all links: a menu inside the article."""
-    if node.tag not in ("ul", "ol", "dl", "table", "div", "section"):
+def menu(node: Node) -> bool:
+    """A list of three or more short links that no heading or colon introduces."""
+    if node.tag not in LISTS or node.tag == "ol":
         return False
     found = blocks(node)
-    total = sum(len(t) for _, t, _ in found)
-    return len(found) >= 3 and total > 0 and sum(x for _, _, x in found) > 0.8 * total
+    if len(found) < 3 or any(x < 0.8 * len(t) or len(t.split()) > LABEL_WORDS for _, t, x in found):
+        return False
+    before: Node | str | None = None
+    for c in node.parent.children if node.parent else ():
+        if c is node:
+            break
+        before = c if not isinstance(c, str) or c.strip() else before
+    if before is None or isinstance(before, str):
+        return before is None or not before.rstrip().endswith(":")
+    return before.tag not in HEADINGS and not "".join(t for _, t, _ in blocks(before)).endswith(":")
 
 
 def extract(html: str | None) -> str:
@@ -353,8 +414,8 @@ def extract(html: str | None) -> str:
         n = todo.pop()
         for c in n.children:
             if not isinstance(c, str) and not c.cut:
-                if "a" in (x.tag for x in c.children if not isinstance(x, str)) or c.tag in ("ul", "ol", "dl", "table"):
-                    c.cut = link_list(c)
+                if menu(c):
+                    c.cut = ALWAYS
                 if not c.cut:
                     todo.append(c)
     return "\n\n".join(t for n in chosen for _, t, _ in blocks(n))

@@ -144,6 +144,29 @@ def test_html_still_cuts_marked_elements():
     assert html_text.extract(f"<article><header><h1>Own</h1></header><p>{PROSE}</p></article>") == f"Own\n\n{PROSE}"
 
 
+SHORT = "This short section has one plain paragraph of text with no comma in it at all ok."
+REFERENCES = "".join(f"<li><a href={i}>Some longer title of a cited work {i}</a></li>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "html,lost",
+    [
+        (f"<div><div>{f'<p>{PROSE}</p>' * 9}</div><div><h4>Sub</h4><p>{SHORT}</p></div></div>", ["Sub", SHORT]),
+        (f"<div><div>{f'<p>{PROSE}</p>' * 9}</div><h4>Sub</h4><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table></div>", ["Sub", "one", "two", "cell"]),
+        (f"<div><div>{f'<p>{PROSE}</p>' * 9}</div><div>tiny</div><div><p>{PROSE} End.</p></div></div>", ["tiny", "End."]),
+        (f"<div class=row><div>{f'<p>{PROSE}</p>' * 9}</div></div><div class=row><div><p>{SHORT}</p></div></div>", [SHORT]),
+        (f"<article><p>{PROSE}</p><p>{PROSE}</p></article><div><article><p>{SHORT}</p></article></div>", [SHORT]),
+        (f"<article><p>{PROSE}</p><h2>References</h2><ul>{REFERENCES}</ul></article>", ["title of a cited work 3"]),
+        (f"<article><p>{PROSE}</p><ol>{REFERENCES}</ol></article>", ["title of a cited work 0"]),
+        (f"<article><p>{PROSE}</p><div>{REFERENCES.replace('li>', 'p>')}</div></article>", ["title of a cited work 1"]),
+    ],
+)
+def test_html_keeps_all_parts_of_an_article(html, lost):
+    links = "<div><a href=1>Home</a> <a href=2>About us</a></div>"
+    text = html_text.extract(f"{links}{html}{links}")
+    assert all(x in text for x in lost) and "Home" not in text
+
+
 def test_html_deep_nesting_and_tables(spark):
     assert html_text.extract("<div>" * 5000 + f"<p>{PROSE}</p>") == PROSE
     rows = html_text.extract_pages(pages(spark, ROWS)).collect()
