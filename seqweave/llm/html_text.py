@@ -24,6 +24,8 @@ from . import common
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math textarea title iframe xmp noembed noframes".split())
+#: RAW ones that a slash at the end of their tag closes.
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer"
     " form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table"
@@ -224,6 +226,8 @@ def parse(html: str) -> Node:
                 if inline and stack[k].tag in BLOCK:
                     break
             continue
+        if tag in FOREIGN and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?|\Z", re.I).search(html, at)
             at = end.end()

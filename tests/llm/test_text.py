@@ -167,6 +167,11 @@ def test_html_keeps_all_parts_of_an_article(html, lost):
     assert all(x in text for x in lost) and "Home" not in text
 
 
+@pytest.mark.parametrize("icon", ["<svg/>", "<svg class='i' />", "<math/>", "<svg><path d=''/></svg>"])
+def test_html_self_closed_icons(icon):
+    assert html_text.extract(f"<article><p>{icon}{PROSE}</p>{icon}<p>{PROSE}</p></article>") == f"{PROSE}\n\n{PROSE}"
+
+
 def test_html_deep_nesting_and_tables(spark):
     assert html_text.extract("<div>" * 5000 + f"<p>{PROSE}</p>") == PROSE
     rows = html_text.extract_pages(pages(spark, ROWS)).collect()
