@@ -1,9 +1,10 @@
 """Toxicity: a support vector machine on a subsequence string kernel with Nystrom landmarks.
 
-Kernel.  A word is mapped to its subsequences of three characters, each weighted by DECAY for every character skipped,
-over spans of SPAN at most; a start mark counts as a character.  The kernel is the cosine of two such maps, so an insult
+Kernel.  A word is mapped to all its subsequences of three characters, each weighted by DECAY for every character skipped,
+however many; a start mark counts as a character.  The kernel is the cosine of two such maps, so an insult
 keeps most of its similarity when characters are dropped from it or put between its letters.  Runs of single characters
-("i d i o t") are read as one word too, and words longer than WIDTH in overlapping windows.
+("i d i o t") are read as one word too; in scoring so are neighbouring words of JOINED letters at most together ("id iot")
+and a word's letters without what stands between them ("i--d--i--o--t").  Insults of more letters are not joined.  Words longer than WIDTH are read in overlapping windows.
 
 Training.  Sentences carry their document's label and the words in them are the instances.  A word's support in a class
 is the number of different words that it follows there, so that copies of a document count once; a word is toxic if its
@@ -24,8 +25,11 @@ a doc_id has several; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,9 @@ from pyspark.sql import functions as F
 from . import common
 
 DECAY = 0.5
-SPAN = 5
 WIDTH = 32
+#: Letters of neighbouring words that are read as one.
+JOINED = 10
 LETTERS = 62
 SAMPLE = 4000
 TOXIC_WORDS, CLEAN_WORDS = 1500, 12000
@@ -49,8 +54,9 @@ BETA, MIN_CUT = 0.5, 0.5
 MEMO = 150_000
 #: Words that are kernels with all landmarks at once, when learning.
 BLOCK = 256
-#: (second, third) offsets of a subsequence from its first character, and its weight.
-STEPS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
+#: Subsequences that are counted at once.
+TRIPLES = 400_000
+BETWEEN = re.compile(r"[\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,11 +77,31 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
+def instances(text: str | None) -> list[str]:
+    """words_of a text, then the words that it may hide: letters without what stands between them, neighbours joined."""
+    words = words_of(text)
+    bare = [w if w.isalpha() else BETWEEN.sub("", w) for w in words]
+    hidden = [b for w, b in zip(words, bare, strict=True) if len(b) > 2 and b is not w and b not in w]
+    sizes = [len(b) for b in bare[: len((text or "").split())]]
+    for i, n in enumerate(sizes):
+        if not 0 < n < JOINED:
+            continue
+        for k in range(i + 1, len(sizes)):
+            n += sizes[k]
+            if n > JOINED:
+                break
+            if n > 2 and sizes[k]:
+                hidden.append("".join(bare[i : k + 1]))
+    return words + hidden
+
+
 @dataclass
 class Alphabet:
     """Character numbers: 0 no letter, 1 other letters, 2 start of a word, then the LETTERS - 1 most frequent."""
 
     numbers: dict[str, int] = field(default_factory=dict)
+    #: Numbers by code point, filled as characters are met; -2 for none yet.
+    table: np.ndarray | None = field(default=None, compare=False, repr=False)
 
     @classmethod
     def of(cls, words: list[str]) -> Alphabet:
@@ -90,6 +116,19 @@ class Alphabet:
     def number(self, c: str) -> int:
         return self.numbers.get(c) or int(c.isalpha())
 
+    def rows(self, text: str) -> np.ndarray:
+        """Numbers of a text's characters, as in encode()."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        if self.table is None:
+            self.table = np.full(0x110000, -2, np.int8)
+            self.table[[0, 2]] = -1, 2
+        out = self.table[points]
+        if (out == -2).any():
+            for p in set(points[out == -2].tolist()):
+                self.table[p] = self.number(chr(p))
+            out = self.table[points]
+        return out
+
 
 def encode(words: list[str], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the words as rows of character numbers, padded with -1; and the word of each row."""
@@ -113,12 +152,18 @@ def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, subsequence, weight), equal subsequences of a row summed; those with a character that is no letter left out."""
     parts = []
     n = len(rows)
+    used = np.nonzero((rows >= 0).any(axis=0))[0]
+    width = int(used[-1]) + 1 if len(used) else 0
     base = np.arange(n, dtype=np.int64)[:, None] << 18
-    for j, k, weight in STEPS:
-        a, b, c = rows[:, : WIDTH - k], rows[:, j : WIDTH - k + j], rows[:, k:]
-        ok = (a > 0) & (b > 0) & (c > 0)
-        key = (base | (a << 12) | (b << 6) | c)[ok]
-        parts.append((key, np.full(len(key), weight)))
+    for k in range(2, width):
+        for j in range(1, k):
+            a, b, c = rows[:, : width - k], rows[:, j : width - k + j], rows[:, k:width]
+            ok = (a > 0) & (b > 0) & (c > 0)
+            key = (base | (a << 12) | (b << 6) | c)[ok]
+            parts.append((key, np.full(len(key), DECAY ** (k - 2))))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
     keys = np.concatenate([p[0] for p in parts])
     weights = np.concatenate([p[1] for p in parts])
     order = np.argsort(keys)
@@ -129,6 +174,39 @@ def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys >> 18, keys & ((1 << 18) - 1), sums
 
 
+@lru_cache(64)
+def triples(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all subsequences of a row, and characters skipped."""
+    i, j, k = np.array(list(combinations(range(width), 3)), np.int64).reshape(-1, 3).T
+    return i, j, k, (k - i - 2).astype(np.int32)
+
+
+def cosines(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights of a row's subsequences over their norm, as by subsequences(); 0 for a row without any."""
+    out = np.zeros(len(rows))
+    i, j, k, skipped = triples(rows.shape[1])
+    if not len(i):
+        return out
+    decay = np.append(DECAY ** np.arange(WIDTH), 0.0)
+    rows = np.where(rows > 0, rows, -1)
+    step = max(1, TRIPLES // len(i))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        # A negative number has a character that is no letter.
+        keys = ((some << 17)[:, i] | (some << 11)[:, j] | (some << 5)[:, k]) | skipped
+        keys.sort(axis=1)
+        sub = keys >> 5
+        weight = decay[np.where(keys < 0, WIDTH, keys & 31)]
+        new = np.ones(sub.shape, bool)
+        np.not_equal(sub[:, 1:], sub[:, :-1], out=new[:, 1:])
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(weight.ravel(), first)
+        norm = np.sqrt(np.bincount(first // len(i), sums * sums, len(some)))
+        value = np.bincount(first // len(i), sums * weights[np.maximum(sub.ravel()[first], 0)], len(some))
+        out[at : at + step] = np.where(norm > 0, value / np.maximum(norm, 1e-12), 0.0)
+    return out
+
+
 @dataclass
 class Model:
     alphabet: Alphabet
@@ -139,14 +217,20 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), -np.inf)
-        for at in range(0, len(words), 2048):
-            some = words[at : at + 2048]
-            rows, owner = encode(some, self.alphabet)
-            row, sub, weight = subsequences(rows)
-            norm = np.sqrt(np.bincount(row, weight * weight, len(rows)))
-            value = np.bincount(row, weight * self.weights[sub], len(rows))
-            f = np.where(norm > 0, value / np.maximum(norm, 1e-12), 0.0) + self.bias
-            np.maximum.at(out, at + owner, f)
+        # Words of a length together, as their subsequences grow with the cube of it.
+        sizes = np.array([min(len(w), WIDTH) for w in words], np.int64)
+        for size in np.unique(sizes).tolist():
+            which = np.nonzero(sizes == size)[0]
+            for at in range(0, len(which), 2048):
+                some = which[at : at + 2048]
+                owner = some
+                if size < WIDTH:
+                    rows = np.full((len(some), size + 1), 2, np.int32)
+                    rows[:, 1:] = self.alphabet.rows("".join([words[i] for i in some.tolist()])).reshape(len(some), size)
+                else:
+                    rows, own = encode([words[i] for i in some.tolist()], self.alphabet)
+                    rows, owner = rows.astype(np.int32), some[own]
+                np.maximum.at(out, owner, cosines(rows, self.weights) + self.bias)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -162,7 +246,7 @@ class Scorer:
         self.memo: dict[str, float] = {}
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
-        words = [set(words_of(t)) for t in texts]
+        words = [set(instances(t)) for t in texts]
         fresh = list(set().union(*words) - self.memo.keys()) if words else []
         for w, m in zip(fresh, self.model.margins(fresh).tolist(), strict=True):
             self.memo[w] = m
@@ -280,19 +364,23 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
 
     row, sub, weight, n = mapped(landmarks)
     kinds, where = np.unique(sub, return_inverse=True)
-    phi = np.zeros((n, len(kinds)))
+    phi = np.zeros((n, len(kinds)), np.float32)
     phi[row, where] = weight
-    value, vector = np.linalg.eigh(phi @ phi.T)
+    gram = np.zeros((n, n))
+    for at in range(0, len(kinds), 4096):
+        some = phi[:, at : at + 4096].astype(np.float64)
+        gram += some @ some.T
+    value, vector = np.linalg.eigh(gram)
     good_axes = value > 1e-6 * value.max()
     white = vector[:, good_axes] / np.sqrt(value[good_axes])
     column = np.full(1 << 18, -1, np.int64)
     column[kinds] = np.arange(len(kinds))
     words = toxic + clean
     x = np.zeros((len(words), white.shape[1]), np.float32)
-    for at in range(0, len(words), BLOCK):
-        row, sub, weight, n = mapped(words[at : at + BLOCK])
+    for at in range(0, len(words), BLOCK // 2):
+        row, sub, weight, n = mapped(words[at : at + BLOCK // 2])
         known = column[sub] >= 0
-        dense = np.zeros((n, len(kinds)))
+        dense = np.zeros((n, len(kinds)), np.float32)
         dense[row[known], column[sub[known]]] = weight[known]
         x[at : at + n] = dense @ phi.T @ white
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])

@@ -270,6 +270,25 @@ def test_toxicity_kernel_tolerates_gaps_and_insertions():
     assert toxicity.words_of("you i d i o t now") == ["you", "i", "d", "i", "o", "t", "now", "idiot"]
 
 
+def test_toxicity_reads_wide_gaps_and_split_words():
+    words = ["idiot", "i--d--i--o--t", "ixxxdxxxixxxoxxxt"]
+    a = toxicity.Alphabet.of(words)
+    rows, _ = toxicity.encode(words, a)
+    row, sub, weight = toxicity.subsequences(rows)
+    phi = np.zeros((3, 1 << 18))
+    phi[row, sub] = weight
+    triple = [a.number(c) for c in "dot"]
+    key = triple[0] << 12 | triple[1] << 6 | triple[2]
+    assert phi[:, key].tolist() == [toxicity.DECAY**k for k in (1, 7, 10)]
+    for text in ("an i--d--i--o--t he", "i**d**i**o**t", "an id iot he", "an id i ot", "(id-) iot!"):
+        assert "idiot" in toxicity.instances(text)
+    assert "moron" in toxicity.instances("mo ron") and toxicity.instances("garden, path") == ["garden,", "path", "gardenpath"]
+    model = toxicity.Model(a, np.arange(1 << 18) % 7 - 3.0, 0.1)
+    mixed = ["idiot", "a" * 70, "i--d", "", "of", "ixxxdxxxixxxoxxxt"]
+    assert model.margins(mixed).tolist() == pytest.approx([model.margins([w])[0] for w in mixed])
+    assert toxicity.Scorer(model).worst(["id iot"])[0] >= model.margins(["idiot"])[0]
+
+
 def test_quality_learns_held_out(spark):
     learned(spark, quality_knn, "quality", sentence, lambda rng: " | ".join(w.upper() + "!!" for w in sentence(rng).split()), 5, 0)
 
