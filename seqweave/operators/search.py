@@ -7,6 +7,7 @@ The probes are the small side; targets are streamed, never shuffled, while the p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -280,10 +281,16 @@ def find_with_mismatches(targets: DataFrame, queries: DataFrame, most: int = 2)
     """
     probes = both_strands(queries.select("query_id", F.col("sequence").alias("query")), "query").drop("query")
     probes = probes.where(F.length("probe") > most)
-    least, longest = probes.agg(F.min(F.length("probe")), F.max(F.length("probe"))).first()
-    if least is None:
+    # Probes with the same length of k-mer together, as a short one would have long ones found by k-mers of its length.
+    probes = probes.withColumn("_k", F.least(F.lit(PREFIX), F.floor(F.length("probe") / (most + 1))).cast("int"))
+    sizes = probes.groupBy("_k").agg(F.max(F.length("probe"))).collect()
+    if not sizes:
         return targets.select("file").limit(0).select(F.lit(0).alias("query_id"), "file", F.lit(1).alias("strand"), F.lit(0).alias("start"), F.lit(0).alias("end"))
-    k = min(PREFIX, least // (most + 1))
+    found = [_within(targets, probes.where(F.col("_k") == k).drop("_k"), most, k, longest) for k, longest in sorted(sizes)]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _within(targets: DataFrame, probes: DataFrame, most: int, k: int, longest: int) -> DataFrame:
     piece = F.floor(F.length("probe") / (most + 1)).cast("int")
     pieces = probes.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: i * piece)).alias("piece_at"))
     pieces = pieces.withColumn("_key", F.substr(F.col("probe"), F.col("piece_at") + 1, F.lit(k)))
@@ -298,7 +305,7 @@ def find_with_mismatches(targets: DataFrame, queries: DataFrame, most: int = 2)
     n = F.col("n")
     return found.select(
         "query_id", "file", "strand", (F.col("start") % n).cast("long").alias("start"), ((F.col("start") + F.length("probe") - 1) % n).cast("long").alias("end")
-    ).distinct()
+    )
 
 
 # ---- ranking
