@@ -234,6 +234,51 @@ def test_aligner_finds_planted_changes():
         assert top.replace("-", "") == ref and low.replace("-", "") == text and len(top) == len(low)
 
 
+def affine_score(top, low):
+    """Score of an alignment, gaps at its ends free."""
+    a, b = (max(len(x) - len(x.lstrip("-")) for x in (top, low)), min(len(x.rstrip("-")) for x in (top, low)))
+    total = gap = 0
+    for r, q in zip(top[a:b], low[a:b], strict=True):
+        now = 1 if r == "-" else 2 if q == "-" else 0
+        total += (aligner.MATCH if r == q else aligner.MISMATCH) if not now else -aligner.EXTEND if now == gap else -aligner.OPEN
+        gap = now
+    return total
+
+
+def full_table(ref, read):
+    """The best score with free ends, cell by cell."""
+    low, n = -(10**9), len(ref)
+    h, v, best = [0] * (n + 1), [low] * (n + 1), 0
+    for q in read:
+        above, side, row = h, low, [0]
+        for j in range(1, n + 1):
+            v[j] = max(above[j] - aligner.OPEN, v[j] - aligner.EXTEND)
+            side = max(row[-1] - aligner.OPEN, side - aligner.EXTEND)
+            row.append(max(above[j - 1] + (aligner.MATCH if ref[j - 1] == q else aligner.MISMATCH), v[j], side))
+        h, best = row, max(best, row[-1])
+    return max(best, *h)
+
+
+def test_aligner_equals_a_full_table():
+    rng = random.Random(21)
+    ref = bases(rng, 700)
+    reads = [ref[:200] + ref[500:], ref[:250] + bases(rng, 200) + ref[250:500], bases(rng, 90), ref[300:360] + bases(rng, 30) + ref[40:90]]
+    for read in reads:
+        for offset in (None, 0, 300, 600):
+            top, low = aligner.align_pair(ref, read, offset)
+            assert (top.replace("-", ""), low.replace("-", "")) == (ref, read) and affine_score(top, low) == full_table(ref, read)
+
+
+def test_aligner_takes_long_reads_without_an_anchor():
+    rng = random.Random(22)
+    ref = bases(rng, 2500)
+    read = "".join(rng.choice("ACGT") if k % 9 == 8 else x for k, x in enumerate(ref[200:2200]))
+    top, low = aligner.align_pair(ref, read)
+    assert sum(a == b for a, b in zip(top, low, strict=True)) > 1700
+    top, low = aligner.align_pair(ref, ref[:900] + ref[1500:], 0)  # 600 bases deleted
+    assert aligner.differences(top, low) == (0, 600, 1900)
+
+
 def test_aligner_folds_a_read_across_the_origin():
     rng = random.Random(8)
     ref = bases(rng, 700)
