@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -257,36 +258,79 @@ def test_toxicity_learns_held_out(spark):
     learned(spark, toxicity, "toxic", sentence, bad, 4, 2)
 
 
+def string_map(word, number):
+    """All subsequences of three letters with their decayed weights, from the definition."""
+    out = {}
+    for i in range(len(word)):
+        for j in range(i + 1, len(word)):
+            for k in range(j + 1, len(word)):
+                letters = tuple(number(word[x]) for x in (i, j, k))
+                if all(letters):
+                    out[letters] = out.get(letters, 0) + toxicity.DECAY ** (k - i - 2)
+    return out
+
+
+def brute_margin(word, model):
+    best = -math.inf
+    for piece in toxicity.pieces(word):
+        phi = string_map(piece, model.alphabet.number)
+        norm = math.sqrt(sum(v * v for v in phi.values()))
+        value = sum(v * float(model.weights[a << 12 | b << 6 | c]) for (a, b, c), v in phi.items())
+        best = max(best, (value / norm if norm else 0.0) + model.bias)
+    return best
+
+
+def toy_model(words):
+    a = toxicity.Alphabet.of(words)
+    weights = np.sin(np.arange(1 << 18)).astype(np.float32)
+    letters = np.arange(1 << 18)
+    weights[(letters >> 12 == 0) | (letters >> 6 & 63 == 0) | (letters & 63 == 0)] = 0
+    return toxicity.Model(a, weights, 0.1)
+
+
 def test_toxicity_kernel_tolerates_gaps_and_insertions():
     words = ["idiot", "i.d.i.o.t", "idi0ot", "garden"]
     a = toxicity.Alphabet.of(words)
-    rows, _ = toxicity.encode(words, a)
-    row, sub, weight = toxicity.subsequences(rows)
+    row, sub, weight = toxicity.unit_maps(["\2" + w for w in words], a)
     phi = np.zeros((4, 1 << 18))
     phi[row, sub] = weight
-    phi /= np.linalg.norm(phi, axis=1, keepdims=True)
     k = phi @ phi[0]
     assert k[0] == pytest.approx(1) and k[1] > 0.3 and k[2] > 0.5 and k[3] < 0.05
-    assert toxicity.words_of("you i d i o t now") == ["you", "i", "d", "i", "o", "t", "now", "idiot"]
+    row, sub, weight = toxicity.subsequences(["idiot", "i--d--i--o--t", "ixxxdxxxixxxoxxxt"], a)
+    d, o, t = (a.number(c) for c in "dot")
+    assert weight[sub == d << 12 | o << 6 | t].tolist() == [toxicity.DECAY**k for k in (1, 7, 10)]
+
+
+def test_toxicity_scores_equal_brute_force():
+    model = toy_model(["idiot", "garden", "path"])
+    words = ["idiot", "a" * 70, "i--d", "", "of", "x", "ixxxdxxxixxxoxxxt", "é漢字ßabc", "path" * 20, "1234", "g-a-r-d-e-n"]
+    assert model.margins(words).tolist() == pytest.approx([brute_margin(w, model) for w in words], abs=1e-4)
+    texts = [None, "", " \n", "Id iot!", "you i d i o t now", "x" * 3000, " ".join(words), "a b", "(id-) - iot of the path", "of of of of of", "1 2 3", "i d. i o t"]
+    texts += [" ".join(random.Random(k).choices(words, k=60)) for k in range(5)]
+    scorer = toxicity.Scorer(model)
+    for _ in range(2):  # the second time from the memo
+        got = scorer.worst(texts)
+        for text, x in zip(texts, got, strict=True):
+            want = max((brute_margin(w, model) for w in toxicity.instances(text)), default=-math.inf)
+            assert x == pytest.approx(want, abs=1e-4)
 
 
 def test_toxicity_reads_wide_gaps_and_split_words():
-    words = ["idiot", "i--d--i--o--t", "ixxxdxxxixxxoxxxt"]
-    a = toxicity.Alphabet.of(words)
-    rows, _ = toxicity.encode(words, a)
-    row, sub, weight = toxicity.subsequences(rows)
-    phi = np.zeros((3, 1 << 18))
-    phi[row, sub] = weight
-    triple = [a.number(c) for c in "dot"]
-    key = triple[0] << 12 | triple[1] << 6 | triple[2]
-    assert phi[:, key].tolist() == [toxicity.DECAY**k for k in (1, 7, 10)]
-    for text in ("an i--d--i--o--t he", "i**d**i**o**t", "an id iot he", "an id i ot", "(id-) iot!"):
+    for text in ("an i--d--i--o--t he", "i**d**i**o**t", "an id iot he", "an id i ot", "(id-) iot!", "you i d i o t now"):
         assert "idiot" in toxicity.instances(text)
-    assert "moron" in toxicity.instances("mo ron") and toxicity.instances("garden, path") == ["garden,", "path", "gardenpath"]
-    model = toxicity.Model(a, np.arange(1 << 18) % 7 - 3.0, 0.1)
-    mixed = ["idiot", "a" * 70, "i--d", "", "of", "ixxxdxxxixxxoxxxt"]
-    assert model.margins(mixed).tolist() == pytest.approx([model.margins([w])[0] for w in mixed])
-    assert toxicity.Scorer(model).worst(["id iot"])[0] >= model.margins(["idiot"])[0]
+    assert "moron" in toxicity.instances("mo ron") and toxicity.instances("garden, path") == {"garden,", "path", "gardenpath"}
+    assert list(toxicity.sentences("One two. Three\nfour? e.g.five")) == [["one", "two"], ["three"], ["four"], ["e.g.five"]]
+
+
+def test_toxicity_hostile_rows(hostile, spark, nothing):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (5, 0), (7, 0), (8, 1), (12, 0), (12, 1), (None, 1), (16, None)], "doc_id long, toxic int")
+    rows = toxicity.scored(hostile, labels).collect()
+    assert len(rows) == hostile.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 12}) == 1
+    kept = toxicity.keep_clean(hostile, labels)
+    assert kept.columns == hostile.columns
+    assert sorted(map(str, kept.select("doc_id").collect())) == sorted(str(r) for r in toxicity.scored(hostile, labels).where("predicted = 0").select("doc_id").collect())
+    assert toxicity.keep_clean(nothing, labels).count() == 0
 
 
 def test_quality_learns_held_out(spark):
