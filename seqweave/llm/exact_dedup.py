@@ -1,11 +1,14 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
-Every text is reduced to a digest once.  Rows are dealt into runs; a run holds one row a digest, sorted by digest, with
-the best row seen and the count.  In each round, runs whose numbers differ in the next bits meet, are merged in digest
-order and keep the better row, until one run is left: a binomial tree with several bits a round.  A digest's rows meet
-only FAN_IN at a time, so a text that a third of all rows share costs no task more than another.
+Every text is reduced to a digest once.  Rows are dealt into 2 ** RUN_BITS runs and each run is sorted by digest; where
+rows of a digest meet, the best row stays with the count of all.  Then partitions exchange runs in binomial rounds: in
+each, the runs whose numbers differ in the next ROUND_BITS bits meet, a slice of the digests in each task, and are merged
+in digest order, keeping the best of each digest again, until one run is left.  A digest's rows meet 2 ** ROUND_BITS at a
+time, so a text that a third of all rows share costs no task more than another, and as runs lie in slices of the digests
+the last one is spread over all tasks.
 
-Equality is that of SHA-256 together with an independent 64-bit hash and the length, all of the normalised text.
+Equality is verified at every level: rows are one only if SHA-256, an independent 64-bit hash and the length, all of the
+normalised text, agree.
 
 Defined results: a null text counts as empty; empty texts are copies of each other; among ties in length the smallest
 doc_id stays and a null doc_id counts as the largest; repeated rows with one doc_id all carry that id, and only rows
@@ -14,13 +17,18 @@ with keep_id = doc_id are kept, one of them for each group if ids repeat (`dedup
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Runs that the rows are dealt into, as bits; and bits merged a round.
 RUN_BITS, ROUND_BITS = 8, 4
+#: Hex digits of the digest that name a slice of a run.
+SLICE_DIGITS = 4
+KEY = ("text_sha256", "bytes", "hash")
+#: Of rows with one digest the first in this order stays.
+ORDER = ("shorter", "no_id", "doc_id")
 
 
 def normalised(text: Column) -> Column:
@@ -42,18 +50,33 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def merged_runs(rows: DataFrame) -> DataFrame:
+    """Rows with one run number merged to one sorted run: of each digest the first row in ORDER, with the sum of n.
+
+    A task holds slices of runs in digest order, so a digest's rows are neighbours there.
+    """
+    where = ["run", "slice"]
+    met = rows.repartition(*where).sortWithinPartitions(*where, *KEY, *ORDER)
+    neighbours = Window.partitionBy(*where, *KEY).orderBy(*ORDER)
+    first = met.withColumn("place", F.row_number().over(neighbours))
+    first = first.withColumn("n", F.sum("n").over(neighbours.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return first.where("place = 1").drop("place")
+
+
 def merge_runs(slim: DataFrame, run_bits: int = RUN_BITS, round_bits: int = ROUND_BITS) -> DataFrame:
     """One row a distinct text: digest columns, keep_id, group_size."""
-    key = ["text_sha256", "bytes", "hash"]
-    best = F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    runs = slim.withColumn("run", F.pmod(F.xxhash64("doc_id", "length"), F.lit(1 << run_bits)))
-    runs = runs.groupBy(*key, "run").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
+    dealt = F.xxhash64("doc_id", "length", F.spark_partition_id())  # repeated rows go to several runs too
+    rows = slim.select(
+        *KEY, (-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.lit(1).cast("long").alias("n"),
+        F.pmod(dealt, F.lit(1 << run_bits)).alias("run"), F.substring("text_sha256", 1, SLICE_DIGITS).alias("slice"),
+    )
+    rows = merged_runs(rows)
     left = run_bits
     while left > 0:
         step = min(round_bits, left)
-        runs = runs.groupBy(*key, F.shiftright("run", step).alias("run")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        rows = merged_runs(rows.withColumn("run", F.shiftright("run", step)))
         left -= step
-    return runs.select(*key, F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    return rows.select(*KEY, F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -61,7 +84,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     slim = digests(docs)
     # A written table claims no partitioning, so the join shuffles both sides and a hot digest's rows can be split.
     merged = common.written(merge_runs(slim), "merged")
-    found = slim.join(merged, ["text_sha256", "bytes", "hash"])
+    found = slim.join(merged, list(KEY))
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
@@ -74,8 +97,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     kept = exact_dedup(docs).where("kept").select(_row_key("doc_id").alias("__sw_key"), F.col("text_sha256").alias("__sw_sha"))
     own = docs.withColumns({"__sw_key": _row_key("doc_id"), "__sw_sha": F.sha2(normalised(common.text_of()).cast("binary"), 256)})
-    # Both steps need rows by (__sw_key, __sw_sha): the texts are shuffled once.
-    out = own.join(kept.distinct(), ["__sw_key", "__sw_sha"]).dropDuplicates(["__sw_key", "__sw_sha"])
+    # Repeated rows are one before they are shuffled, and both steps need rows by (__sw_key, __sw_sha): texts move once.
+    out = own.dropDuplicates(["__sw_key", "__sw_sha"]).join(kept.distinct(), ["__sw_key", "__sw_sha"], "left_semi")
     return out.select(*docs.columns)
 
 
