@@ -1,19 +1,18 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
-A text's words are lower-cased runs of letters and digits; shingles are five words.  For a template of L shingles,
-windows hold 2 * L shingles and start every L, so a copy of the template lies whole in some window.  A band is one bin of
-one permutation: the shingles of a set fall into BINS_A_SHINGLE * L bins and a bin's key is its least permuted hash.  A
-window retrieves the template if they agree on the key of any band.
+A text's words are lower-cased runs of letters and digits; shingles are five words.
 
-A window with the share c of the template's shingles agrees on a given band with probability at least c * (1 - 2 /
-BINS_A_SHINGLE), as at most 2 * L other shingles fall into as many bins; with n = min(L, ...) distinct bands a
-permutation and PERMUTATIONS of them, it is missed with probability at most (1 - 0.8 * (1 - 2 / BINS_A_SHINGLE)) ** n
-for one permutation and less for all: 1e-4 for a template of one shingle, 2e-7 for three.
+Bands.  A text is read in windows of 2 * PIECE shingles that start every PIECE, and a template in pieces of PIECE; a copy
+of a piece lies whole in some window.  A band is one permutation of the shingles' hashes: its key is the least permuted
+hash of the window or piece.  Windows' keys are joined with the table of the templates' keys, and a text that agrees with
+a template on any band is its candidate.  Of a template copied with containment c some piece keeps at least c of its
+shingles, so a window and that piece agree on a band with probability c / (3 - c) at least (their Jaccard similarity), and
+all BANDS miss with probability (1 - c / (3 - c)) ** BANDS at most: 2e-5 for a whole copy, 1e-3 for c = 0.8, and less for
+each further piece.  Templates of fewer shingles than PIECE have windows and pieces of one shingle, whose least hash is its hash:
+enough of them are taken as pieces that a copy with the least containment holds one for certain.
 
-Keys are compared in the other direction for speed: only a shingle whose hash is among the templates' can be an agreeing
-key, so positions that hold one are found first, and for those it is checked that the window has no smaller hash in the
-bin.  Then the template's shingles in the window are counted, as text.  Everything is an expression on one document's
-row; what is shuffled are matches.
+Verification.  A candidate's text is read again and the template's shingles in it are counted, as text, in windows of
+twice the template's length that start every length.
 
 Defined results: null, empty and short texts match nothing; a template matches once a document, with its best containment
 and first matching word; repeated rows of a doc_id are one document; templates of fewer than five words are refused;
@@ -31,8 +30,11 @@ from . import common
 
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
-PERMUTATIONS = 5
-BINS_A_SHINGLE = 16
+#: Shingles of a piece; windows hold twice as many.
+PIECE = 8
+BANDS = 16
+#: Candidates that are broadcast to the second pass; more of them are shuffled.
+BROADCAST_ROWS = 200_000
 SPLIT = r"[^\p{L}\p{N}]+"
 
 # Public licence notices and phrases.
@@ -44,18 +46,58 @@ TEMPLATES = {
     " following conditions are met",
     "bsd-disclaimer": "This software is provided by the copyright holders and contributors as is and any express or implied warranties,"
     " including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions"
+    " and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions"
+    " and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of"
+    " the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+    " without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY"
+    " EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A"
+    " PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,"
+    " INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN"
+    " CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN"
+    " IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "boost-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and"
+    " accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit"
+    " the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to"
+    " do so, all subject to the following",
+    "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this"
+    " work. This work is published under the Creative Commons CC0 1.0 Universal Public Domain Dedication",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
     " License as published by the Free Software Foundation",
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General"
+    " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+    " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+    " Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
     "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
     " granted, provided that the above copyright notice and this permission notice appear in all copies",
     "mit-line": "Released under the MIT License.",
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
     " documentation files (the Software), to deal in the Software without restriction",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"
+    " files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,"
+    " merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished"
+    " to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all"
+    " copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,"
+    " INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"
+    " SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT"
+    " OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any"
+    " damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including"
+    " commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this"
+    " software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a"
+    " product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must"
+    " be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or"
+    " altered from any source distribution.",
 }
 
 
@@ -63,11 +105,19 @@ def words_of(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), SPLIT, " ")), " ")
 
 
+def places(n: Column, step: int = 1) -> Column:
+    """0, step, 2 * step ... below n."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
 def hashes_of(words: Column) -> Column:
     """Hash of the shingle at each position of an array of words."""
-    many = F.size(words) - SHINGLE
-    places = F.when(many >= 0, F.sequence(F.lit(0), many)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+    return F.transform(places(F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+
+
+def shingles_of(words: Column) -> Column:
+    """The shingle at each position, as text."""
+    return F.transform(places(F.size(words) - SHINGLE + 1), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -75,83 +125,83 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def permuted(h: Column, t: Column | int) -> Column:
-    return F.xxhash64(h, F.lit(t) if isinstance(t, int) else t)
+def mask(band: int) -> int:
+    """What a band's permutation of the hashes is: they are uniform, so exclusive or with a number orders them anew."""
+    x = (band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    return x - (1 << 64) if x >> 63 else x
+
+
+def least_keys(hashes: Column, starts: Column, size: int) -> Column:
+    """An array of (band, key): of each window of `size` hashes from a start, the least permuted hash in every band."""
 
+    def keys(band: int) -> Column:
+        permuted = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask(band))))
+        least = let(permuted, lambda p: F.transform(starts, lambda at: F.array_min(F.slice(p, at + 1, size))))
+        return F.transform(F.array_distinct(least), lambda k: F.struct(F.lit(band).alias("band"), k.alias("key")))
 
-def bin_of(p: Column, bins: Column) -> Column:
-    return F.pmod(F.shiftrightunsigned(p, 1), bins.cast("long"))
+    return F.concat(*[keys(band) for band in range(BANDS)])
+
+
+def single_keys(hashes: Column) -> Column:
+    """Keys of windows of one shingle: band -1."""
+    return F.transform(hashes, lambda h: F.struct(F.lit(-1).alias("band"), h.alias("key")))
+
+
+def window_starts(hashes: Column) -> Column:
+    """Every PIECE; the last window may be cut off."""
+    return places(F.size(hashes), PIECE)
 
 
 def template_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFrame:
     """license, shingles (distinct, as text), hashes, span (positions): a row a template, whatever the corpus."""
     table = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    table = table.select("license", words_of(F.col("text")).alias("words")).withColumn("hashes", hashes_of(F.col("words")))
-    texts = F.transform(F.sequence(F.lit(1), F.size("hashes")), lambda i: F.array_join(F.slice("words", i, SHINGLE), " "))
-    return table.where(F.size("hashes") > 0).select("license", F.array_distinct(texts).alias("shingles"), "hashes", F.size("hashes").alias("span"))
-
-
-def bands(table: DataFrame) -> DataFrame:
-    """license, span, t, bin, key (least permuted hash), h (its hash): the templates' bands."""
-    rows = table.select("license", "span", F.explode(F.array_distinct("hashes")).alias("h"))
-    rows = rows.select("*", F.explode(F.array(*[F.lit(t) for t in range(PERMUTATIONS)])).alias("t"))
-    rows = rows.withColumn("p", permuted(F.col("h"), F.col("t"))).withColumn("bin", bin_of(F.col("p"), F.col("span") * BINS_A_SHINGLE))
-    least = rows.groupBy("license", "span", "t", "bin").agg(F.min(F.struct("p", "h")).alias("m"))
-    return least.select("license", "span", "t", "bin", F.col("m.p").alias("key"), F.col("m.h").alias("h"))
+    table = table.select("license", words_of(F.col("text")).alias("words"))
+    rows = table.select("license", F.array_distinct(shingles_of(F.col("words"))).alias("shingles"), hashes_of(F.col("words")).alias("hashes"))
+    rows = rows.where(F.size("hashes") > 0).withColumn("span", F.size("hashes"))
+    if rows.count() < len(templates):
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {sorted(set(templates) - {r.license for r in rows.select('license').collect()})}")
+    return rows
+
+
+def bands(table: DataFrame, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
+    """band, key, license: the keys that retrieve a template, a few a piece."""
+    distinct = F.array_sort(F.array_distinct("hashes"))
+    spare = F.size(distinct) - F.ceil(F.size(distinct) * F.lit(min_containment)).cast("int")
+    few = F.slice(distinct, 1, spare + 1)
+    starts = F.transform(places(F.floor(F.col("span") / PIECE).cast("int")), lambda k: k * PIECE)
+    keys = F.when(F.col("span") < PIECE, single_keys(few)).otherwise(least_keys(F.col("hashes"), starts, PIECE))
+    return table.select("license", F.explode(keys).alias("k")).select("k.band", "k.key", "license").distinct()
+
+
+def candidates(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, licenses of the documents that agree with a template on a band."""
+    hashes = docs.select("doc_id", let(words_of(common.text_of()), hashes_of).alias("hashes")).where(F.size("hashes") > 0)
+    found = F.concat(single_keys(F.col("hashes")), let(F.col("hashes"), lambda h: least_keys(h, window_starts(h), 2 * PIECE)))
+    own = hashes.select("doc_id", F.explode(found).alias("k")).select("doc_id", "k.band", "k.key")
+    # The templates' keys: BANDS a piece at most, whatever the corpus.
+    met = own.join(F.broadcast(keys), ["band", "key"]).groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("doc_id").agg(F.collect_list("license").alias("licenses"))  # as many as there are templates at most
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, first_word of each document and template at or above min_containment."""
-    spark = docs.sparkSession
-    table = template_table(spark, templates)
-    held = table.select("license", "hashes").collect()  # the given templates
-    if len(held) < len(templates):
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {sorted(set(templates) - {r['license'] for r in held})}")
-    known = sorted({h for r in held for h in r["hashes"]})
-    one = bands(table).groupBy("h").agg(F.collect_list(F.struct("license", "span", "t", "bin", "key")).alias("bands"))
-    by_hash = one.agg(F.map_from_entries(F.collect_list(F.struct("h", "bands"))).alias("by_hash"))  # bounded by the templates
-
-    text = common.text_of()
-    rows = docs.select("doc_id", text.alias("text"), let(words_of(text), hashes_of).alias("hashes"))
-    rows = rows.where(F.exists("hashes", lambda h: h.isin(known)))
-    places = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.get("hashes", i).isin(known))
-
-    def found(words: Column) -> Column:
-        def hit(i: Column) -> Column:
-            shingle = F.array_join(F.slice(words, i + 1, SHINGLE), " ")
-            return F.struct(i.alias("at"), F.get("hashes", i).alias("h"), shingle.alias("shingle"))
-
-        return F.transform(places, hit)
-
-    rows = rows.select("doc_id", "hashes", let(words_of(F.col("text")), found).alias("hits"), by_hash.scalar().alias("by_hash"))
-
-    def agree(hit: Column) -> Column:
-        """Windows that hold the hit, with the templates whose band key it is there."""
-
-        def windows(band: Column) -> Column:
-            own = F.floor(hit["at"] / band["span"]).cast("int")
-            both = F.filter(F.array(own, own - 1), lambda w: w >= 0)
-            free = F.filter(
-                both,
-                lambda w: ~F.exists(
-                    F.slice(F.col("hashes"), w * band["span"] + 1, 2 * band["span"]),
-                    lambda x: (permuted(x, band["t"]) < band["key"])
-                    & (bin_of(permuted(x, band["t"]), band["span"] * BINS_A_SHINGLE) == band["bin"]),
-                ),
-            )
-            return F.transform(free, lambda w: F.struct(band["license"].alias("license"), w.alias("window")))
-
-        return F.flatten(F.transform(F.element_at("by_hash", hit["h"]), windows))
-
-    fields = F.filter("hits", lambda x: F.map_contains_key("by_hash", x["h"]))
-    rows = rows.withColumn("banded", fields).select(
-        "doc_id", "hits", F.explode(F.array_distinct(F.flatten(F.transform("banded", agree)))).alias("c")
-    )
-    rows = rows.select("doc_id", "hits", "c.license", "c.window").join(F.broadcast(table.drop("hashes")), "license")
+    table = template_table(docs.sparkSession, templates)
+    docs = docs.select("doc_id", "text")
+    found = common.written(candidates(docs, bands(table, min_containment)), "licenses").withColumnRenamed("doc_id", "__sw_id")
+    few = found.count() <= BROADCAST_ROWS
+    rows = docs.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("__sw_id")))
+    rows = rows.select("doc_id", let(words_of(common.text_of()), shingles_of).alias("own"), F.explode("licenses").alias("license"))
+    rows = rows.join(F.broadcast(table.drop("hashes")), "license")  # the given templates
+
+    at = F.filter(places(F.size("own")), lambda i: F.array_contains("shingles", F.get("own", i)))
+    rows = rows.select("doc_id", "license", "span", F.size("shingles").alias("n"), F.transform(at, lambda i: F.struct(i.alias("at"), F.get("own", i).alias("shingle"))).alias("hits"))
+    number = lambda x: F.floor(x["at"] / F.col("span")).cast("int")
+    windows = F.filter(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(number(x), number(x) - 1)))), lambda w: w >= 0)
+    rows = rows.select("*", F.explode(windows).alias("window"))
     start = F.col("window") * F.col("span")
-    inside = F.filter("hits", lambda x: (x["at"] >= start) & (x["at"] < start + 2 * F.col("span")) & F.array_contains("shingles", x["shingle"]))
-    checked = rows.withColumn("inside", inside)
-    share = F.size(F.array_distinct(F.transform("inside", lambda x: x["shingle"]))) / F.size("shingles")
-    checked = checked.select("doc_id", "license", share.alias("containment"), F.array_min(F.transform("inside", lambda x: x["at"])).alias("at"))
+    rows = rows.withColumn("inside", F.filter("hits", lambda x: (x["at"] >= start) & (x["at"] < start + 2 * F.col("span"))))
+    share = F.size(F.array_distinct(F.transform("inside", lambda x: x["shingle"]))) / F.col("n")
+    checked = rows.select("doc_id", "license", share.alias("containment"), F.array_min(F.transform("inside", lambda x: x["at"])).alias("at"))
     checked = checked.where(F.col("containment") >= min_containment)
     return checked.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word"))
