@@ -79,7 +79,9 @@ SELECT doc_id, n::BIGINT AS n, line FROM (SELECT doc_id, unnest([
 
 
 def parse_stockholm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.parsed(_saved(spark, sf_dir), M.read_stockholm, ["text"], M.ALIGNMENT).drop("read_index")
+    return M.parsed(_saved(spark, sf_dir), M.read_stockholm, ["text"], M.ALIGNMENT).select(
+        "doc_id", "id", "name", "role", "row", "strand", "rotation", "circular", "folded", "anchored", "covered", "deleted"
+    )
 
 
 PARSED_SQL = f"""WITH {PAIRS_SQL}, {_ROWS}
@@ -162,13 +164,15 @@ UNION ALL SELECT 'in/' || file || '.fa', file, 'dna', sequence, false, 0 FROM co
 
 def pasted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pasted tables of a passage's words: by tabs, by commas, as lines."""
-    q = queries(spark, sf_dir).where(F.length("sequence") >= 5)
+    q = queries(spark, sf_dir)
     i, name = F.col("query_id"), F.concat(F.lit("p"), F.col("query_id").cast("string"))
     text = F.when(i % 3 == 0, F.concat(F.lit("name\tsequence\n"), name, F.lit("\t"), "sequence")).when(i % 3 == 1, F.concat(name, F.lit(" "), "sequence", F.lit("\n\n"))).otherwise(F.concat(F.lit("> "), name, F.lit("\r\n"), "sequence"))
-    return M.parsed(q.select("query_id", text.alias("text")), M.parse_pasted, ["text"], "name string, sequence string")
+    return M.pasted_table(q.select("query_id", text.alias("text")))
 
 
-PASTED_SQL = f"WITH {QUERIES_SQL} SELECT query_id, 'p' || query_id AS name, sequence FROM queries WHERE length(sequence) >= 5"
+# A line of a name and less than five letters is no name and sequence, but one sequence.
+PASTED_SQL = f"""WITH {QUERIES_SQL}, q AS (SELECT *, query_id % 3 = 1 AND length(sequence) < 5 AS one FROM queries)
+SELECT query_id, CASE WHEN one THEN '' ELSE 'p' || query_id END AS name, CASE WHEN one THEN trim('p' || query_id || ' ' || sequence) ELSE sequence END AS sequence FROM q"""
 
 QUERIES = {
     "scan_origin_bases": (scan_origin_bases, ORIGIN_SQL),

@@ -291,6 +291,36 @@ def test_aligner_folds_a_read_across_the_origin():
     assert aligner.align_read("", "ACGT", True)[3] is None and aligner.align_read(None, None, True)[3] is None
 
 
+def test_row_walks_equal_their_definitions():
+    """The array forms of folding, moving and tallying against a walk over the columns."""
+    rng = random.Random(31)
+    for _ in range(60):
+        n = rng.randint(1, 40)
+        doubled = "".join(rng.choice("ACGT--"[:4] if rng.random() < 0.9 else "-") for _ in range(2 * n))
+        read = "".join(rng.choice("ACGT---") for _ in doubled)
+        size = max(1, (len(doubled.replace("-", "")) + 1) // 2)
+        at = reads = -1
+        placed, extra = {}, 0
+        for r, q in zip(doubled, read, strict=True):
+            at, reads = at + (r != "-"), reads + (q != "-")
+            if r == "-":
+                extra += q != "-" and at >= 0
+            elif q != "-":
+                placed[at % size] = (q, reads)
+        covered, _, insertions, sequence, order = alignment.fold_one(doubled, read, size)
+        held = sorted(placed)
+        assert insertions == extra and sequence == "".join(placed[p][0] for p in held) and order == [placed[p][1] for p in held]
+        assert [p for c in covered for p in range(c["from"], c["to"] + 1)] == held
+        spans = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 3))]
+        inside = [any((a <= p <= b) if a <= b else (p >= a or p <= b) for a, b in spans) for p in range(n)]
+        assert alignment.within(n, spans).tolist() == inside
+        notes = [{"name": "x", "start": a, "end": b, "strand": 1, "locations": None} for a, b in spans[:1]]
+        index = rng.sample(range(n), rng.randint(1, n))
+        moved = traces._move(notes, -1, index, n)[0]
+        want = {c for c, p in enumerate(index) if notes and alignment.within(n, spans[:1])[n - 1 - p]}
+        assert {c for m in moved for c in range(m["start"], m["end"] + 1)} == want and all(m["strand"] == -1 for m in moved)
+
+
 def test_multiple_alignment_shares_slots():
     rows = aligner.star("ACDEF", [("AC-DEF", "ACXDEF"), ("ACDEF", "--DEF"), ("AC-DEF", "ACYDEF")])
     assert rows == ["AC-DEF", "ACXDEF", "---DEF", "ACYDEF"]
@@ -323,12 +353,29 @@ def test_cart_and_inventory(spark):
     assert tuple(inventory.load_result(inv).first()) == (2, 1, 1)
 
 
-def test_delimited_and_pasted():
+def test_delimited():
     assert M.parse_delimited('a,"b, ""c""\nd"\r\n\r\n,x') == [["a", 'b, "c"\nd'], [""], ["", "x"]]
     assert M.parse_delimited("a\tb,c\td\n1\t2\t3\n") == [["a", "b,c", "d"], ["1", "2", "3"]]
-    assert M.parse_pasted("name,seq\np1,ACGTACGT\n") == [{"name": "p1", "sequence": "ACGTACGT"}]
-    assert M.parse_pasted(" 1 acgtacgtac\n11 acgtacgtac") == [{"name": "", "sequence": "1 acgtacgtac 11 acgtacgtac"}]
-    assert M.parse_pasted(">x\nAC\nGT\n>y") == [{"name": "x", "sequence": "ACGT"}, {"name": "y", "sequence": ""}] and M.parse_pasted(None) == []
+
+
+def test_pasted_layouts(spark):
+    wrapped = "\n".join(["ACGTACGTAC" * 5] * 3 + ["ACGT"])
+    cases = [
+        ("name,seq\np1,ACGTACGT\n", [("p1", "ACGTACGT")]),
+        (" 1 acgtacgtac\n11 acgtacgtac", [("", "1 acgtacgtac 11 acgtacgtac")]),
+        (">x\nAC\nGT\n>y", [("x", "ACGT"), ("y", "")]),
+        (None, []), ("", []), (" \n\t\n", []),
+        ("1\tACGTACGT\t\r\n2\tGGGTACGT\trev", [("", "ACGTACGT"), ("rev", "GGGTACGT")]),
+        ('"a, b",ACGTAC\nc,GGTACA', [("a, b", "ACGTAC"), ("c", "GGTACA")]),
+        ("T7 TAATACGACT\nSP6 ATTTAGGTGA", [("T7", "TAATACGACT"), ("SP6", "ATTTAGGTGA")]),
+        (wrapped, [("", wrapped.replace("\n", " "))]),
+        ("ACGT\nGGG", [("", "ACGT"), ("", "GGG")]),
+        ("5\tACGTACGT\n7\tACGTACGA", [("5", "ACGTACGT"), ("7", "ACGTACGA")]),
+    ]
+    df = spark.createDataFrame(list(enumerate(c for c, _ in cases)), "i int, text string")
+    got = {r.i: [tuple(x) for x in r.e] for r in df.select("i", M.pasted_rows("text").alias("e")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    assert M.pasted_table(df).count() == sum(len(w) for _, w in cases)
 
 
 def test_safe_ids_chain():
@@ -360,6 +407,8 @@ def test_saved_alignment_widths():
     text = M.write_stockholm({"name": "r", "row": "AC-GT"}, [{"name": "q", "row": "ACCG-", "strand": -1, "covered": "0-3"}])
     rows = M.read_stockholm(text)
     assert [r["row"] for r in rows] == ["AC-GT", "ACCG-"] and rows[1]["strand"] == -1 and rows[1]["covered"] == "0-3"
+    assert (rows[1]["trim"], rows[1]["bases"], rows[0]["circular"]) == (0, None, False)
+    assert M.stockholm_meta(text)["alphabet"] == "dna" and M.stockholm_meta("# STOCKHOLM 1.0\nr  MKVLE-FQ\n//\n")["alphabet"] == "protein"
     with pytest.raises(ValueError, match="columns"):
         M.read_stockholm("# STOCKHOLM 1.0\nr  ACGT\nq  AC\n//\n")
 
