@@ -23,6 +23,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from io import BytesIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -38,6 +39,8 @@ ARCHIVE_BYTES = 16 << 20
 LEVEL = 3
 DICTIONARY_BYTES, SAMPLE_PAGES, SAMPLE_CHARS = 64 << 10, 256, 16 << 10
 MIN_REVISIT_BYTES = 0
+#: Tasks that read archives back at most.
+READ_TASKS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,17 +82,36 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 
 
 def headers(data: bytes, where: str) -> dict[str, str]:
+    """Names in lower case; a line that begins with white space goes on from the line before."""
     out: dict[str, str] = {}
+    last = ""
     for line in data.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and last:
+            out[last] += f" {line.strip()}"
+            continue
         name, colon, value = line.partition(":")
         if not colon or not name or name != name.strip():
             raise WarcError(f"{where}: not a header: {line[:80]!r}")
-        out[name.lower()] = value.strip()
+        last = name.lower()
+        out[last] = value.strip()
     return out
 
 
+def agrees(label: str, data: bytes) -> bool:
+    """Whether a digest header fits the data; digests of unknown kinds can't be told and pass."""
+    kind, _, value = label.partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return True
+    raw = hashlib.new(kind.lower(), data).digest()
+    return value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=") or value.lower() == raw.hex()
+
+
 def parse_record(data: bytes, where: str) -> dict:
-    """Headers and payload of a record, validated."""
+    """Headers and payload of a record, validated.
+
+    Records of any type are read; only a response or revisit whose block is application/http has an HTTP head before its
+    payload, and any other record's block is its payload.
+    """
     head, blank, rest = data.partition(b"\r\n\r\n")
     version, _, fields = head.partition(b"\r\n")
     if not blank or not re.fullmatch(rb"WARC/1\.[01]", version):
@@ -101,78 +123,103 @@ def parse_record(data: bytes, where: str) -> dict:
     if not h["content-length"].isdigit() or len(rest) != int(h["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise WarcError(f"{where}: Content-Length {h['content-length']} but {len(rest) - 4} bytes")
     block = rest[:-4]
-    if "warc-block-digest" in h and h["warc-block-digest"] != f"sha1:{digest(block)}":
+    if not agrees(h.get("warc-block-digest", ""), block):
         raise WarcError(f"{where}: block digest differs")
-    http, blank, payload = block.partition(b"\r\n\r\n")
-    status, _, fields = http.partition(b"\r\n")
-    if not blank or not status.startswith(b"HTTP/"):
-        raise WarcError(f"{where}: no HTTP head")
-    inner = headers(fields, where)
-    length = inner.get("content-length", "")
-    if not length.isdigit():
-        raise WarcError(f"{where}: no HTTP Content-Length")
-    if h["warc-type"] == "response":
-        if len(payload) != int(length):
-            raise WarcError(f"{where}: HTTP Content-Length {length} but {len(payload)} bytes")
-        if h.get("warc-payload-digest", f"sha1:{digest(payload)}") != f"sha1:{digest(payload)}":
-            raise WarcError(f"{where}: payload digest differs")
-    elif h["warc-type"] == "revisit" and ("warc-refers-to" not in h or "warc-payload-digest" not in h):
+    kind = h["warc-type"]
+    if kind == "revisit" and not ("warc-payload-digest" in h and ("warc-refers-to" in h or "warc-refers-to-target-uri" in h)):
         raise WarcError(f"{where}: a revisit without what it refers to")
-    return {"headers": h, "payload": payload, "payload_bytes": int(length)}
+    payload, length = block, len(block)
+    if kind in ("response", "revisit") and h.get("content-type", "").lower().startswith("application/http") and block:
+        http, blank, payload = block.partition(b"\r\n\r\n")
+        status, _, fields = http.partition(b"\r\n")
+        if not status.startswith(b"HTTP/") or not (blank or kind == "revisit"):
+            raise WarcError(f"{where}: no HTTP head")
+        inner = headers(fields, where) if fields else {}
+        stated = inner.get("content-length", "")
+        if stated and not stated.isdigit():
+            raise WarcError(f"{where}: HTTP Content-Length {stated[:20]!r}")
+        length = int(stated) if stated else len(payload)
+        if kind == "response" and length != len(payload) and "warc-truncated" not in h:
+            raise WarcError(f"{where}: HTTP Content-Length {length} but {len(payload)} bytes")
+    if kind != "revisit" and "warc-truncated" not in h and not agrees(h.get("warc-payload-digest", ""), payload):
+        raise WarcError(f"{where}: payload digest differs")
+    return {"headers": h, "payload": payload, "payload_bytes": length}
 
 
 # ---- frames
 
 
-def frame_end(data: memoryview, at: int, where: str) -> int:
-    """Where the Zstandard frame that starts at `at` ends."""
-    size = len(data)
-    if size - at < 6 or struct.unpack_from("<I", data, at)[0] != FRAME:
+class Source:
+    """Reads a stream by numbers of bytes, and knows where it is."""
+
+    def __init__(self, stream, name: str):
+        self.stream, self.name, self.at = stream, name, 0
+
+    def take(self, n: int, what: str = "cut off") -> bytes:
+        parts = []
+        while n > 0:
+            data = self.stream.read(n)
+            if not data:
+                raise WarcError(f"{self.name} at {self.at}: {what}")
+            parts.append(data)
+            self.at, n = self.at + len(data), n - len(data)
+        return b"".join(parts)
+
+    def ended(self) -> bytes | None:
+        """None at the end, else the next byte, which is taken."""
+        data = self.stream.read(1)
+        self.at += len(data)
+        return data or None
+
+
+def next_frame(source: Source, lead: bytes) -> bytes:
+    """The Zstandard frame that begins with lead, to its end as its block headers tell."""
+    where = f"{source.name} at {source.at - len(lead)}"
+    head = lead + source.take(5 - len(lead), "no Zstandard frame")
+    if struct.unpack_from("<I", head)[0] != FRAME:
         raise WarcError(f"{where}: no Zstandard frame")
-    flags = data[at + 4]
+    flags = head[4]
     single, checksum = flags >> 5 & 1, flags >> 2 & 1
-    at += 5 + (not single) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6]
-    while True:
-        if at + 3 > size:
-            raise WarcError(f"{where}: cut off")
-        head = data[at] | data[at + 1] << 8 | data[at + 2] << 16
-        at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
-        if head & 1:
-            break
-    at += 4 * checksum
-    if at > size:
-        raise WarcError(f"{where}: cut off")
-    return at
-
-
-def read_dictionary(data: memoryview, where: str) -> tuple[zstandard.ZstdDecompressor, int]:
-    """A decompressor with the archive's dictionary, and where the records start."""
-    if len(data) < 8 or struct.unpack_from("<I", data, 0)[0] != SKIPPABLE:
-        raise WarcError(f"{where}: no leading dictionary frame")
-    size = struct.unpack_from("<I", data, 4)[0]
-    if 8 + size > len(data):
-        raise WarcError(f"{where}: the dictionary frame is cut off")
-    held = bytes(data[8 : 8 + size])
+    parts = [head, source.take((not single) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6])]
+    last = 0
+    while not last:
+        block = source.take(3)
+        size = block[0] | block[1] << 8 | block[2] << 16
+        last = size & 1
+        parts += [block, source.take(1 if size >> 1 & 3 == 1 else size >> 3)]
+    return b"".join([*parts, source.take(4 * checksum)])
+
+
+def read_dictionary(source: Source) -> zstandard.ZstdCompressionDict | None:
+    """The archive's dictionary: the content of the skippable frame it begins with, which may itself be compressed."""
+    magic, size = struct.unpack("<II", source.take(8, "no leading dictionary frame"))
+    if magic != SKIPPABLE:
+        raise WarcError(f"{source.name}: no leading dictionary frame")
+    held = source.take(size, "the dictionary frame is cut off")
     if held[:4] == struct.pack("<I", FRAME):
-        held = zstandard.ZstdDecompressor().decompress(held)
-    if not held:
-        return zstandard.ZstdDecompressor(), 8
-    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held)), 8 + size
+        held = zstandard.ZstdDecompressor().decompressobj().decompress(held)
+    return zstandard.ZstdCompressionDict(held) if held else None
+
+
+def read_stream(stream, name: str) -> Iterator[tuple[int, dict]]:
+    """(offset, record) of each record of an archive, a frame at a time: a record is all that is held."""
+    source = Source(stream, name)
+    held = read_dictionary(source)
+    decompressor = zstandard.ZstdDecompressor(dict_data=held) if held else zstandard.ZstdDecompressor()
+    while (lead := source.ended()) is not None:
+        at = source.at - 1
+        frame = next_frame(source, lead)
+        try:
+            # Frames of streaming writers don't tell the size of their content.
+            plain = decompressor.decompressobj().decompress(frame)
+        except zstandard.ZstdError as e:
+            raise WarcError(f"{name} at {at}: {e}") from None
+        yield at, parse_record(plain, f"{name} at {at}")
 
 
 def read_archive(content: bytes, name: str) -> Iterator[tuple[int, dict]]:
-    """(offset, record) of each record of an archive."""
-    data = memoryview(content)
-    decompressor, at = read_dictionary(data, name)
-    while at < len(data):
-        where = f"{name} at {at}"
-        end = frame_end(data, at, where)
-        try:
-            plain = decompressor.decompress(data[at:end])
-        except zstandard.ZstdError as e:
-            raise WarcError(f"{where}: {e}") from None
-        yield at, parse_record(plain, where)
-        at = end
+    """read_stream() of an archive in memory."""
+    return read_stream(BytesIO(content), name)
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -211,8 +258,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, arc
     dictionary = train([r.t.encode("utf-8", "surrogatepass") for r in samples])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, base = pafs.FileSystem.from_uri(uri(folder))
         store.create_dir(base, recursive=True)
+        attempt = uuid.uuid4().hex[:12]
         held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=True, write_content_size=True)
         lead = struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary
@@ -222,7 +270,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, arc
         def close() -> None:
             nonlocal out, size, n
             out.close()
-            name = f"part-{part:06d}-{len(done):04d}.warc.zst"
+            name = f"part-{part:06d}-{attempt}-{len(done):04d}.warc.zst"
             store.move(f"{base}/{temporary}", f"{base}/{name}")
             done.append((name, n))
             out, size, n = None, 0, 0
@@ -246,35 +294,59 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, arc
     return common.map_batches(revisits(pages, min_bytes), run, "archive string, records long")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of the archives in folder: archive, offset, record_type, record_id, target_uri, refers_to, payload, payload_bytes, payload_digest."""
+RECORDS = (
+    "archive string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload binary, payload_bytes long, payload_digest string"
+)
+_KINDS = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.int64(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["archive", "offset", "record_type", "record_id", "target_uri", "refers_to", "payload", "payload_bytes", "payload_digest"]
-        kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.int64(), pa.string()]
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _rows(records: Iterator[tuple[int, dict]], name: str) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        names = [f.split()[0] for f in RECORDS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names)
+
+    rows, size = [], 0
+    for at, r in records:
+        h, payload = r["headers"], r["payload"]
+        kind = h["warc-type"]
+        sha = h["warc-payload-digest"].removeprefix("sha1:") if kind == "revisit" else digest(payload)
+        uris = [h["warc-record-id"], h.get("warc-target-uri"), h.get("warc-refers-to")]
+        rows.append((name, at, kind, *(u and u.strip("<>") for u in uris), payload, r["payload_bytes"], sha))
+        size += len(payload)
+        if size > 8 << 20:
+            yield batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield batch(rows)
+
 
+def read(spark: SparkSession, folder: str, archives: DataFrame | None = None) -> DataFrame:
+    """Records of the archives in folder: archive, offset, record_type, record_id, target_uri, refers_to, payload, payload_bytes, payload_digest.
+
+    archives: the names to read, in a column archive, as write() gives them; they are streamed through Arrow's file systems,
+    a record at a time.  Without it all archives of the folder are read, by Spark, a whole one at a time.
+    """
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(uri(folder))
+        for b in batches:
+            for name in b.column("archive").to_pylist():
+                with store.open_input_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20) as stream:
+                    yield from _rows(read_stream(stream, name), name)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 1):
             name = b.column("path")[0].as_py()
-            rows, size = [], 0
-            for at, r in read_archive(b.column("content")[0].as_py(), name):
-                h, payload = r["headers"], r["payload"]
-                kind = h["warc-type"]
-                sha = h["warc-payload-digest"].removeprefix("sha1:") if kind == "revisit" else digest(payload)
-                uris = [h["warc-record-id"], h.get("warc-target-uri"), h.get("warc-refers-to")]
-                rows.append((name, at, kind, *(u and u.strip("<>") for u in uris), payload, r["payload_bytes"], sha))
-                size += len(payload)
-                if size > 8 << 20:
-                    yield batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch(rows)
+            yield from _rows(read_archive(b.column("content")[0].as_py(), name), name)
 
+    if archives is not None:
+        return common.map_batches(archives.select("archive"), streamed, RECORDS)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    schema = "archive string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload binary, payload_bytes long, payload_digest string"
-    return common.map_batches(files, run, schema)
+    return common.map_batches(files, whole, RECORDS)
+
+
+def uri(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -282,15 +354,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     folder = f"{common.shared_dir(spark)}/seqweave/warc-{uuid.uuid4().hex}"
-    written = write(pages, folder).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    if not written:
+    done = common.written(write(pages, folder), "archives")  # what lost attempts have left is not among them
+    n = done.count()
+    if not n:
         rows = spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
         return rows
 
     def page(uri: str):
         return F.expr(f"try_cast(nullif(regexp_replace({uri}, '^urn:x-page:', ''), 'null') AS {kind})")
 
-    rows = read(spark, folder).select(
+    rows = read(spark, folder, done.repartition(min(n, READ_TASKS))).select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
     )
     rows = common.written(rows, "records")

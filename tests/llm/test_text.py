@@ -107,6 +107,36 @@ def test_warc_refuses_broken_archives(data, message):
         list(warc.read_archive(data, "bad"))
 
 
+def test_warc_reads_ordinary_archives(spark, tmp_path):
+    """A streaming writer's frames (no content size), a warcinfo first, other types, folded headers, other digests."""
+    head = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:{}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n{}Content-Length: {}\r\n\r\n"
+
+    def one(kind, name, block, more=""):
+        return head.format(kind, name, more, len(block)).encode() + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype=response\r\n"
+    body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hello</p>"
+    md5 = f"WARC-Block-Digest: md5:{hashlib.md5(body).hexdigest()}\r\n"
+    texts = [
+        one("warcinfo", "i", b"software: x\r\n", "Content-Type: application/warc-fields\r\n"), one("request", "q", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request\r\n"),
+        one("response", "r", body, http + "X-Long: a\r\n b\r\n" + md5), one("resource", "s", b"plain"), one("metadata", "m", b""),
+        one("revisit", "v", b"", http + "WARC-Payload-Digest: sha1:ABC\r\nWARC-Refers-To: <urn:r>\r\n"),
+        one("response", "t", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nab", http + "WARC-Truncated: length\r\n"),
+    ]
+    data = struct.pack("<II", warc.SKIPPABLE, 0)
+    for t in texts:
+        c = zstandard.ZstdCompressor().compressobj()
+        data += c.compress(t) + c.flush()
+    (tmp_path / "a.warc.zst").write_bytes(data)
+    want = {"i": b"software: x\r\n", "q": b"GET / HTTP/1.1\r\n\r\n", "r": b"<p>hello</p>", "s": b"plain", "m": b"", "v": b"", "t": b"ab"}
+    named = spark.createDataFrame([("a.warc.zst",)], "archive string")
+    for rows in (warc.read(spark, str(tmp_path)), warc.read(spark, str(tmp_path), named)):
+        rows = rows.collect()
+        assert {r.record_id.removeprefix("urn:"): bytes(r.payload) for r in rows} == want and [r.record_type for r in rows][0] == "warcinfo"
+    with pytest.raises(warc.WarcError, match="block digest"):
+        warc.parse_record(texts[2].replace(b"hello", b"jello"), "x")
+
+
 PROSE = "It was a long, quiet, and even day, with much to read, write, and think about, before the night came down again."
 
 
