@@ -60,6 +60,7 @@ PLACES = frozenset(
 )
 #: Before "header" or "banner" these name a part of the article.
 PARTS = frozenset("article chapter content entry page post section story title".split())
+COMMENTS = frozenset("comment comments reply replies".split())
 KEEP_TAGS = frozenset("html body main article".split())
 #: A start tag closes an open element of the same kind, looked for up to a boundary.
 CLOSES = {
@@ -88,6 +89,8 @@ LISTS = frozenset("ul ol dl table".split())
 TEXT_TAGS = HEADINGS | LISTS | frozenset("p pre blockquote figure".split())
 #: Other elements beside the article are its text from so many characters outside links.
 MIN_TEXT = 80
+#: Ancestors that a block's points reach.
+LEVELS = 64
 #: Links of a menu have so many words at most.
 LABEL_WORDS = 3
 #: So many times the text kept holds an element that is kept in spite of a FIRM cut.
@@ -96,10 +99,12 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("children", "cut", "parent", "points", "tag")
+    __slots__ = ("children", "cut", "parent", "points", "tag", "within")
 
     def __init__(self, tag: str, parent: Node | None, cut: int = 0):
         self.tag, self.parent, self.cut, self.points = tag, parent, cut, 0.0
+        #: The nearest block element around it.
+        self.within: Node | None = parent if parent is None or parent.tag in BLOCK else parent.within
         self.children: list[Node | str] = []
 
 
@@ -120,11 +125,15 @@ def is_cut(tag: str, attributes: str, section: bool = False) -> int:
     if tag in CUT:
         return ALWAYS
     cut = 0 if tag == "header" and section else CUT_TAGS.get(tag, 0)
-    if not attributes or tag in KEEP_TAGS:
+    if not attributes or (tag in KEEP_TAGS and tag != "article"):
         return cut
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
+        if tag == "article":
+            # Only a reader's comment is an article that isn't kept.
+            if name == "class" and any(word_cut(w) and not COMMENTS.isdisjoint(WORD.findall(w)) for w in value.split()):
+                return LAST
+        elif name in ("class", "id"):
             words = max(map(word_cut, value.split()), default=0)
             cut = max(cut, words if words > MILD or tag not in HEADINGS else 0)
         elif name == "role" and value in CUT_ROLES:
@@ -192,25 +201,54 @@ def weigh(root: Node) -> None:
         candidates += below(best)
 
 
-def parse(html: str) -> Node:
-    root = Node("#root", None)
-    stack = [root]
+class Open:
+    """The open elements, with the places of each tag, so that the nearest of a kind is found without a walk."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.block_places.append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, tags: tuple[str, ...] | frozenset) -> int:
+        """Place of the innermost open element of these; 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at a place and all in it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.block_places.pop()
+
+    def close_nearest(self, tags: tuple[str, ...] | frozenset, bounds: tuple[str, ...] | frozenset) -> None:
+        place = self.nearest(tags)
+        if place and place > self.nearest(bounds):
+            self.close(place)
 
-    def pop_to(tags: tuple[str, ...] | frozenset, bounds: tuple[str, ...] | frozenset) -> None:
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at].tag in tags:
-                del stack[at:]
-                return
-            if stack[at].tag in bounds:
-                return
+    def end(self, tag: str) -> None:
+        """An end tag; that of an inline element doesn't reach out of the block around."""
+        place = self.nearest((tag,))
+        if place and (tag in BLOCK or not self.block_places or place > self.block_places[-1]):
+            self.close(place)
 
+
+def parse(html: str) -> Node:
+    root = Node("#root", None)
+    open_ = Open(root)
     at = 0
     find = TOKEN.search
     while True:
         m = find(html, at)
         text = html[at : m.start() if m else len(html)]
         if text:
-            stack[-1].children.append(text)
+            open_.stack[-1].children.append(text)
         if not m:
             return root
         at = m.end()
@@ -218,13 +256,7 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            inline = tag not in BLOCK
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if inline and stack[k].tag in BLOCK:
-                    break
+            open_.end(tag)
             continue
         if tag in FOREIGN and m[3].endswith("/"):
             continue
@@ -233,15 +265,13 @@ def parse(html: str) -> Node:
             at = end.end()
             continue
         if tag in ENDS_P:
-            pop_to(("p",), P_BOUNDARY)
+            open_.close_nearest(("p",), P_BOUNDARY)
         if tag in CLOSES:
-            pop_to(*CLOSES[tag])
-        node = Node(tag, stack[-1], is_cut(tag, m[3], tag == "header" and any(x.tag in ("article", "section") for x in stack)))
-        stack[-1].children.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag in BLOCK:
-            stack.append(node)
+            open_.close_nearest(*CLOSES[tag])
+        node = Node(tag, open_.stack[-1], is_cut(tag, m[3], tag == "header" and bool(open_.nearest(("article", "section")))))
+        open_.stack[-1].children.append(node)
+        if tag not in VOID and (tag in BLOCK or not m[3].endswith("/")):
+            open_.push(node)
 
 
 def blocks(node: Node) -> list[tuple[Node, str, int]]:
@@ -288,32 +318,24 @@ def blocks(node: Node) -> list[tuple[Node, str, int]]:
         else:
             if here.tag in BLOCK:
                 flush()
-                up = here.parent
-                while up is not None and up.tag not in BLOCK:
-                    up = up.parent
-                owner = up or node
+                owner = here.within or node
     flush()
     return out
 
 
 def container(found: list[tuple[Node, str, int]], root: Node) -> list[Node]:
     """What holds the best element, or all articles, with what is kept beside them; the rest in it is cut."""
-    texts: dict[int, list[int]] = {}
-    nodes: dict[int, Node] = {}
+    stats = Stats(found, root)
+    texts, nodes = stats.texts, stats.nodes
+    for n in nodes.values():
+        n.points = START_POINTS.get(n.tag, 0)
     for holder, text, linked in found:
-        if holder.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "th", "option"):
-            points = 0.0
-        else:
-            points = (1 + text.count(",") + text.count("、") + min(3, len(text) / 100)) * (1 - linked / len(text))
-        level, up = 0, holder if holder.tag not in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") else holder.parent
-        while up is not None:
-            if id(up) not in nodes:
-                nodes[id(up)] = up
-                up.points = START_POINTS.get(up.tag, 0)
-                texts[id(up)] = [0, 0]
+        if holder.tag in HEADINGS or holder.tag in ("th", "option"):
+            continue
+        points = (1 + text.count(",") + text.count("、") + min(3, len(text) / 100)) * (1 - linked / len(text))
+        level, up = 0, holder if holder.tag not in ("p", "li", "td", "dd", "dt") else holder.parent
+        while up is not None and level <= LEVELS:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            texts[id(up)][0] += len(text)
-            texts[id(up)][1] += linked
             level, up = level + 1, up.parent
     if not nodes:
         return []
@@ -349,17 +371,17 @@ def container(found: list[tuple[Node, str, int]], root: Node) -> list[Node]:
     kept = {id(n) for n in tops}
     ways: dict[int, Node] = {}
     for n in tops:
-        while n.parent is not None:
+        while n.parent is not None and id(n.parent) not in ways:
             n = n.parent
             ways[id(n)] = n
     bar = min(MIN_TEXT, 0.2 * max(texts[id(n)][0] for n in tops))
     for up in ways.values():
         members = [c for c in up.children if not isinstance(c, str) and not c.cut]
         on_way = [id(c) in kept or id(c) in ways for c in members]
-        good = on_way if outer is not None else [w or fits(c, texts, bar) for w, c in zip(on_way, members, strict=True)]
+        good = on_way if outer is not None else [w or fits(c, stats, bar) for w, c in zip(on_way, members, strict=True)]
         first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
         for k, c in enumerate(members):
-            if not on_way[k] and id(c) in texts and (not first <= k <= last or (not good[k] and boilerplate(c, texts))):
+            if not on_way[k] and id(c) in texts and (not first <= k <= last or (not good[k] and boilerplate(c, stats))):
                 c.cut = ALWAYS
         # Stray text outside is no element that could be cut.
         if outer is not None:
@@ -374,34 +396,68 @@ def linked_text(node: Node, texts: dict[int, list[int]]) -> bool:
     return linked > 0.5 * total
 
 
-def boilerplate(node: Node, texts: dict[int, list[int]]) -> bool:
+def boilerplate(node: Node, stats: Stats) -> bool:
     """A menu, or an element of links that is no list."""
-    return menu(node) if node.tag in LISTS else linked_text(node, texts)
+    return menu(node, stats) if node.tag in LISTS else linked_text(node, stats.texts)
 
 
-def fits(node: Node, texts: dict[int, list[int]], bar: float) -> bool:
+def fits(node: Node, stats: Stats, bar: float) -> bool:
     """A sibling of the article's best element that is the article's too: text blocks, lists and tables whatever their length."""
-    if id(node) not in texts or boilerplate(node, texts):
+    if id(node) not in stats.texts or boilerplate(node, stats):
         return False
-    total, linked = texts[id(node)]
+    total, linked = stats.texts[id(node)]
     return node.tag in TEXT_TAGS or total - linked >= bar
 
 
-def menu(node: Node) -> bool:
+class Stats:
+    """Of each element with text, from its blocks: characters and those in links, blocks, blocks that no menu has, the last block."""
+
+    def __init__(self, found: list[tuple[Node, str, int]], root: Node):
+        self.found = found
+        self.texts: dict[int, list[int]] = {}
+        self.blocks: dict[int, list[int]] = {}
+        self.nodes: dict[int, Node] = {}
+        for k, (holder, text, linked) in enumerate(found):
+            self._add(holder, len(text), linked, 1, linked < 0.8 * len(text) or len(text.split()) > LABEL_WORDS, k)
+        order = [root]
+        for n in order:
+            order.extend(c for c in n.children if not isinstance(c, str))
+        for n in reversed(order):
+            if id(n) in self.texts and n.parent is not None:
+                self._add(n.parent, *self.texts[id(n)], *self.blocks[id(n)])
+        self.before: dict[int, Node | str | None] = {}
+        for n in order:
+            last: Node | str | None = None
+            for c in n.children:
+                if not isinstance(c, str):
+                    self.before[id(c)] = last
+                    last = c
+                elif c.strip():
+                    last = c
+
+    def _add(self, node: Node, total: int, linked: int, n: int, odd: int, last: int) -> None:
+        self.nodes[id(node)] = node
+        held = self.texts.setdefault(id(node), [0, 0])
+        held[0] += total
+        held[1] += linked
+        held = self.blocks.setdefault(id(node), [0, 0, -1])
+        held[0] += n
+        held[1] += odd
+        held[2] = max(held[2], last)
+
+
+def menu(node: Node, stats: Stats) -> bool:
     """A list of three or more short links that no heading or colon introduces."""
     if node.tag not in LISTS or node.tag == "ol":
         return False
-    found = blocks(node)
-    if len(found) < 3 or any(x < 0.8 * len(t) or len(t.split()) > LABEL_WORDS for _, t, x in found):
+    n, odd, _ = stats.blocks.get(id(node), (0, 0, -1))
+    if n < 3 or odd:
         return False
-    before: Node | str | None = None
-    for c in node.parent.children if node.parent else ():
-        if c is node:
-            break
-        before = c if not isinstance(c, str) or c.strip() else before
+    before = stats.before.get(id(node))
     if before is None or isinstance(before, str):
         return before is None or not before.rstrip().endswith(":")
-    return before.tag not in HEADINGS and not "".join(t for _, t, _ in blocks(before)).endswith(":")
+    last = stats.blocks.get(id(before), (0, 0, -1))[2]
+    return before.tag not in HEADINGS and not (last >= 0 and stats.found[last][1].endswith(":"))
 
 
 def extract(html: str | None) -> str:
@@ -413,12 +469,13 @@ def extract(html: str | None) -> str:
     chosen = container(found, root)
     if not chosen:
         return ""
+    stats = Stats([b for n in chosen for b in blocks(n)], root)
     todo: list[Node] = list(chosen)
     while todo:
         n = todo.pop()
         for c in n.children:
             if not isinstance(c, str) and not c.cut:
-                if menu(c):
+                if menu(c, stats):
                     c.cut = ALWAYS
                 if not c.cut:
                     todo.append(c)

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -168,6 +169,28 @@ def test_html_keeps_the_bulk_of_a_page(wrapper):
     assert html_text.extract(page) == f"Head\n\n{PROSE}\n\n{PROSE}"
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 40000 + "x", "<div>" * 20000 + f"<p>{PROSE}</p>" + "</div>" * 20000, "<ul><li>" * 20000 + "<a href=1>a</a>" * 3, "<b>" * 20000 + "<div>x</div>" * 20000,
+        "<ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul>" * 10000, "<i>" * 20000 + "</b>" * 20000, "<div>" * 20000 + "</section>" * 20000,
+        "<article>" * 15000 + f"<p>{PROSE}" * 500, "<div>" * 10000 + f"<p>{PROSE}</p><ul><li><a href=1>a</a></ul></div>" * 10000, f"<p class=x>{PROSE} " * 30000,
+    ],
+)
+def test_html_time_is_linear(html):
+    began = time.process_time()
+    html_text.extract(html)
+    assert time.process_time() - began < 6
+
+
+def test_html_keeps_sibling_articles_and_loose_text():
+    two = f"<main><article><p>{PROSE} A.</p></article><article><p>{PROSE} B.</p></article></main>"
+    assert html_text.extract(two) == f"{PROSE} A.\n\n{PROSE} B."
+    for page in (f"<main><p>{PROSE}</p><article class=comment><p>{PROSE} no</p></article></main>", f"<div><p>{PROSE}</p><div class=comment><p>{PROSE} no</p></div></div>"):
+        assert html_text.extract(page) == PROSE
+    assert html_text.extract(f"<div class=post><div><p>{PROSE}</p><p>{PROSE}</p></div>Loose end, said.</div>") == f"{PROSE}\n\n{PROSE}\n\nLoose end, said."
+
+
 def test_html_still_cuts_marked_elements():
     marked = ["related-posts", "ad-slot-1", "sidebar-left", "share buttons", "site-header", "comment-list", "newsletter-signup box", "main-nav"]
     cut = "".join(f"<div class='{c}'>{PROSE}</div>" for c in marked)
