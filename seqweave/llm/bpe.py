@@ -5,7 +5,7 @@ each live position, the rank of the pair that starts there, and at each inner no
 position; the root is the next merge.  A merge removes the right half's leaf and updates the leaves of the merged token
 and of its left neighbour: three logarithmic point updates.
 
-Trees of many distinct matches advance in step as rows of NumPy arrays.  Encoded matches are remembered by worker, in a
+Trees of many distinct matches advance in step as rows of NumPy arrays; a match of over LONG bytes has its own.  Encoded matches are remembered by worker, in a
 bounded memo.  Ids are looked up again to decode.
 
 Defined results: null and empty texts have no tokens and decode to nothing; repeated rows repeat; columns other than
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,6 +33,8 @@ MEMO = 240_000
 #: Positions (matches times padded length) that trees are built for at once.
 POSITIONS = 1 << 19
 NONE = np.int64(1 << 62)
+#: Longest matches, in bytes, whose trees advance in step with others.
+LONG = 1 << 11
 
 
 class Ranks:
@@ -42,6 +45,7 @@ class Ranks:
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.ranks = ranks
+        self._by_pair: dict[int, int] | None = None
         self.tokens = {r: t for t, r in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.base = np.int64(max(ranks.values()) + 1)
@@ -87,6 +91,14 @@ class Ranks:
         return out
 
 
+    def by_pair(self) -> dict[int, int]:
+        """Rank by pair, for lookups of one pair."""
+        if self._by_pair is None:
+            used = np.nonzero(self.keys >= 0)[0]
+            self._by_pair = dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+        return self._by_pair
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Ranks:
     with open(path, "rb") as f:
@@ -148,6 +160,58 @@ def _forest(words: list[bytes], width: int, ranks: Ranks) -> list[np.ndarray]:
     return np.split(ids[live], np.cumsum(live.sum(1))[:-1])
 
 
+def _tree(word: bytes, ranks: Ranks) -> np.ndarray:
+    """Ids of one long word: the same tree as in _forest(), in plain arrays, as there is nothing to advance beside it.
+
+    An update stops where a node keeps its minimum, so most touch a few levels.  28 bytes a position.
+    """
+    n = len(word)
+    width = 1 << (n - 1).bit_length()
+    ids = ranks.single[np.frombuffer(word, np.uint8)]
+    rank = ranks.pair(ids[:-1], ids[1:])
+    built = np.full(2 * width, NONE, np.int64)
+    built[width : width + n - 1] = np.where(rank == NONE, NONE, rank * width + np.arange(n - 1))
+    level = width
+    while level > 1:
+        built[level // 2 : level] = np.minimum(built[level : 2 * level : 2], built[level + 1 : 2 * level : 2])
+        level //= 2
+    tree = array("q", built.tobytes())
+    del built
+    ids, after, before = (array("i", x.astype(np.int32).tobytes()) for x in (ids, np.arange(1, n + 1), np.arange(-1, n - 1)))
+    none, base, known = int(NONE), int(ranks.base), ranks.by_pair()
+
+    def update(at: int, value: int) -> None:
+        node = width + at
+        tree[node] = value
+        node >>= 1
+        while node:
+            a, b = tree[2 * node], tree[2 * node + 1]
+            least = a if a < b else b
+            if tree[node] == least:
+                return
+            tree[node] = least
+            node >>= 1
+
+    while tree[1] != none:
+        rank, at = divmod(tree[1], width)
+        gone = after[at]
+        follows = after[gone]
+        ids[at], after[at], ids[gone] = rank, follows, -1
+        update(gone, none)
+        if follows < n:
+            before[follows] = at
+            pair = known.get(rank * base + ids[follows], -1)
+            update(at, none if pair < 0 else pair * width + at)
+        else:
+            update(at, none)
+        left = before[at]
+        if left >= 0:
+            pair = known.get(ids[left] * base + rank, -1)
+            update(left, none if pair < 0 else pair * width + left)
+    out = np.frombuffer(ids, np.int32).astype(np.int64)
+    return out[out >= 0]
+
+
 def encode_words(words: list[bytes], ranks: Ranks) -> list[np.ndarray]:
     """The ids of each match."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
@@ -159,6 +223,10 @@ def encode_words(words: list[bytes], ranks: Ranks) -> list[np.ndarray]:
         elif w:
             by_width.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(i)
     for width, which in by_width.items():
+        if width > LONG:
+            for i in which:
+                out[i] = _tree(words[i], ranks)
+            continue
         rows = max(1, POSITIONS // width)
         for at in range(0, len(which), rows):
             some = which[at : at + rows]

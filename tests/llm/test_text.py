@@ -53,6 +53,23 @@ ROWS = [
 ]
 
 
+@pytest.mark.parametrize("n", [bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 5000, 16384])
+def test_bpe_long_matches_equal_the_library(n):
+    ranks = bpe.load(PATH)
+    library = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
+    rng = random.Random(n)
+    for word in ("".join(rng.choice("etaoinshrdlu") for _ in range(n)), "ab" * (n // 2), "é漢" * (n // 5), "z" * n):
+        (ids,) = bpe.encode_words([word.encode()], ranks)
+        assert ids.tolist() == library.encode_ordinary(word)
+
+
+def test_bpe_time_of_a_long_match_grows_with_its_length():
+    began = time.process_time()
+    word = "".join(random.Random(3).choice("etaoinshrdlu") for _ in range(200_000)).encode()
+    ids = bpe.encode_words([word], bpe.load(PATH))[0]
+    assert time.process_time() - began < 15 and bpe.Codec(PATH, P.PATTERN).decode(ids.tolist()) == word
+
+
 def test_warc_round_trip(spark):
     got = Counter(tuple(r) for r in warc.round_trip(pages(spark, ROWS)).collect())
     first = {}
