@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import clean, melting_point, rev_comp, round_half_up
-from .tables import kmers, small
+from .search import occurrences
 
 K, MIN_ANNEAL = 12, 15
 
@@ -38,7 +38,7 @@ def primer_search(templates: DataFrame, primers: DataFrame, min_anneal: int = MI
     n = F.length("sequence")
     pad = F.when(F.col("circular"), F.greatest(F.lit(0), F.least(F.lit(longest - 1), n - 1))).otherwise(0)
     padded = templates.select("file", n.alias("n"), F.concat("sequence", F.substr(F.col("sequence"), F.lit(1), pad)).alias("T"))
-    hits = kmers(padded, "T", K, longest, longest).join(small(ahead.union(back)), F.col("kmer") == F.col("anchor"))
+    hits = occurrences(padded, "T", ahead.union(back), "anchor", around=longest)
     m, at, i = F.length("Q"), F.col("at"), F.col("_i")
     reach = F.least(i, m - K)
     left = common_prefix(F.reverse(F.substr(F.col("chunk"), i - reach + 1, reach)), F.reverse(F.substr(F.col("Q"), m - K - reach + 1, reach)))
@@ -77,5 +77,8 @@ def in_silico_pcr(hits: DataFrame, longest: int) -> DataFrame:
     """Products between a forward and a reverse primer that face each other on a linear stretch of a template."""
     f = hits.where("strand = 1").select("file", F.col("name").alias("forward"), F.col("start").alias("product_start"), F.col("end").alias("f_end"))
     r = hits.where("strand = -1").select("file", F.col("name").alias("reverse"), F.col("start").alias("r_start"), F.col("end").alias("product_end"))
-    pairs = f.join(r, "file").where((F.col("f_end") < F.col("r_start")) & (F.col("product_end") - F.col("product_start") < longest))
+    # A product ends in its start's stretch of `longest` bases or in the next: an equi-join, not all pairs of a template.
+    f = f.withColumn("_stretch", F.explode(F.array(*[F.floor(F.col("product_start") / longest) + k for k in (0, 1)])))
+    r = r.withColumn("_stretch", F.floor(F.col("product_end") / longest))
+    pairs = f.join(r, ["file", "_stretch"]).where((F.col("f_end") < F.col("r_start")) & (F.col("product_end") - F.col("product_start") < longest))
     return pairs.select("file", "forward", "reverse", "product_start", "product_end", (F.col("product_end") - F.col("product_start") + 1).alias("length"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import rev_comp, translate_frame
+from ..shipping import ship
 from .tables import kmers, small
 
 SEED = 11
@@ -25,6 +26,8 @@ TOP = 500
 PROBE_LETTERS = 4_000_000
 #: Letters of probes that are compared with a text at once.
 CELLS = 2_000_000
+#: Letters of texts that are looked up at once.
+STRETCH = 1 << 18
 
 
 def both_strands(queries: DataFrame, text: str = "sequence") -> DataFrame:
@@ -34,20 +37,104 @@ def both_strands(queries: DataFrame, text: str = "sequence") -> DataFrame:
     return ahead.union(back.where(F.col("probe") != F.col(text)))
 
 
-def occurrences(targets: DataFrame, text: str, probes: DataFrame, probe: str = "probe") -> DataFrame:
+class Prefixes:
+    """Probes by the number that their first k letters make, sorted, for lookups of whole texts at once."""
+
+    def __init__(self, probes: list[str]):
+        codes = [_codes(p) for p in probes]
+        self.lengths = np.array([len(c) for c in codes], np.int64)
+        self.k = min(PREFIX, int(self.lengths.min()))
+        self.letters = np.zeros((len(codes), int(self.lengths.max())), np.uint8)
+        for i, c in enumerate(codes):
+            self.letters[i, : len(c)] = c
+        first = np.array([int(_rolled(c[: self.k], self.k)[0]) for c in codes], np.uint64)
+        self.order = np.argsort(first, kind="stable")
+        self.keys = first[self.order]
+
+    def of(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, probe) of every occurrence, by stretches of the text."""
+        for start in range(0, len(text), STRETCH):
+            rolled = _rolled(text[start : start + STRETCH + self.k - 1], self.k)
+            lo = np.searchsorted(self.keys, rolled)
+            maybe = np.nonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == rolled)[0]
+            lo, hi = lo[maybe], np.searchsorted(self.keys, rolled[maybe], "right")
+            n = hi - lo
+            for some in np.array_split(np.arange(len(maybe)), max(1, int(n.sum()) * self.letters.shape[1] // CELLS)):
+                at = np.repeat(maybe[some] + start, n[some])
+                ends = np.cumsum(n[some])
+                which = self.order[np.repeat(lo[some], n[some]) + np.arange(len(at)) - np.repeat(ends - n[some], n[some])]
+                yield self._equal(text, at, which)
+
+    def _equal(self, text: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those whose letters all agree: the numbers only propose."""
+        fits = at + self.lengths[which] <= len(text)
+        at, which = at[fits], which[fits]
+        step = 8
+        for lo in range(0, self.letters.shape[1], step):
+            column = np.arange(lo, min(lo + step, self.letters.shape[1]))
+            own = self.letters[which[:, None], column]
+            same = (text[np.minimum(at[:, None] + column, len(text) - 1)] == own) | (column >= self.lengths[which][:, None])
+            held = same.all(1)
+            at, which = at[held], which[held]
+        return at, which
+
+
+def occurrences(targets: DataFrame, text: str, probes: DataFrame, probe: str = "probe", around: int | None = None) -> DataFrame:
     """Every occurrence of each probe in each target's text, overlaps included: the other columns of both, and at.
 
-    Targets and probes must not share column names.
+    Targets and probes must not share column names.  around: adds chunk, the text up to so many letters before and behind
+    the probe, and _i, the probe's place in it.  Probes of PROBE_LETTERS letters at most go to the executors and targets are
+    mapped where they lie; more are joined by k-mer, and both sides are shuffled.
     """
     probes = probes.where(F.length(probe) > 0)
-    least, most = probes.agg(F.min(F.length(probe)), F.max(F.length(probe))).first()
+    least, most, letters = probes.agg(F.min(F.length(probe)), F.max(F.length(probe)), F.sum(F.length(probe))).first()
     if least is None:
-        return targets.drop(text).join(probes, F.lit(False)).withColumn("at", F.lit(0))
-    k = min(PREFIX, least)
+        none = targets.drop(text).join(probes, F.lit(False)).withColumn("at", F.lit(0))
+        return none.withColumns({"chunk": F.lit(""), "_i": F.lit(0)}) if around is not None else none
+    if letters <= PROBE_LETTERS:
+        return _mapped(targets, text, probes, probe, around)
+    k, side = min(PREFIX, least), around or 0
     keyed = probes.withColumn("_key", F.substr(F.col(probe), F.lit(1), F.lit(k)))
-    found = kmers(targets, text, k, 0, most - 1, kmer="_kmer").join(small(keyed), F.col("_kmer") == F.col("_key"))
+    found = kmers(targets, text, k, side, most + side, kmer="_kmer").join(keyed, F.col("_kmer") == F.col("_key"))
     exact = F.substr(F.col("chunk"), F.col("_i") + 1, F.length(probe)) == F.col(probe)
-    return found.where(exact).drop("_kmer", "_key", "_i", "chunk", "chunk_at", "chunk_base")
+    found = found.where(exact).drop("_kmer", "_key", "chunk_at", "chunk_base")
+    return found if around is not None else found.drop("chunk", "_i")
+
+
+def _mapped(targets: DataFrame, text: str, probes: DataFrame, probe: str, around: int | None) -> DataFrame:
+    held = probes.toArrow().combine_chunks()  # PROBE_LETTERS letters at most
+    shared = targets.sparkSession.sparkContext.broadcast(held)
+    rest = [c for c in targets.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.to_batches()[0]
+        words = table.column(probe).to_pylist()
+        index = Prefixes(words)
+        for b in batches:
+            for part in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                # Texts lie one behind the other with a letter between them that no probe has.
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                joined = np.frombuffer("\0".join(texts).encode("latin-1", "replace"), np.uint8)
+                for place, which in index.of(joined):
+                    row = np.searchsorted(ends, place, "right")
+                    at = place - np.append(0, ends[:-1])[row]
+                    strange = [k for k, (r, i, w) in enumerate(zip(row.tolist(), at.tolist(), which.tolist(), strict=True)) if not texts[r].isascii() and not texts[r].startswith(words[w], i)] if any(not t.isascii() for t in texts) else []
+                    row, at, which = (np.delete(x, strange) for x in (row, at, which))
+                    if not len(row):
+                        continue
+                    cols = [*part.drop_columns([text]).take(pa.array(row)).columns, *table.take(pa.array(which)).columns, pa.array(at.astype(np.int32))]
+                    if around is not None:
+                        first = np.maximum(at - around, 0)
+                        last = at + index.lengths[which] + around
+                        chunks = [texts[r][a:z] for r, a, z in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
+                        cols += [pa.array(chunks, pa.string()), pa.array((at - first).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, [*rest, *table.schema.names, "at", *(["chunk", "_i"] if around is not None else [])])
+
+    fields = [(c, targets.schema[c]) for c in rest] + [(c, probes.schema[c]) for c in probes.columns]
+    schema = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in fields) + ", at int" + (", chunk string, _i int" if around is not None else "")
+    ship(targets.sparkSession)
+    return targets.mapInArrow(run, schema)
 
 
 def exact_search(corpus: DataFrame, queries: DataFrame) -> DataFrame:
@@ -100,11 +187,13 @@ def protein_exact_search(corpus: DataFrame, peptides: DataFrame) -> DataFrame:
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+    return np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
 
 
 def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
-    """The k-mer at each place as one number; exact, five bits a letter."""
+    """The k-mer at each place as one number, five bits a letter: one for one on upper-case letters, others may collide."""
+    if k > PREFIX:
+        raise ValueError(f"seeds have {PREFIX} letters at most")
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -120,7 +209,7 @@ class Seeds:
 
     def __init__(self, probes: list[str], k: int):
         self.k = k
-        codes = [_codes(p) for p in probes]
+        codes = [_codes(p.upper()) for p in probes]
         self.lengths = np.array([len(c) for c in codes], np.int64)
         self.letters = np.zeros((len(codes), int(self.lengths.max(initial=1))), np.uint8)
         kmer, which, place = [], [], []
@@ -144,6 +233,9 @@ class Seeds:
         t = np.repeat(np.arange(len(rolled)), n)
         at = np.repeat(lo, n) + (np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n))
         which, q = self.which[at], self.place[at]
+        step = np.arange(self.k)
+        same = np.concatenate([(self.letters[which[x : x + CELLS, None], q[x : x + CELLS, None] + step] == text[t[x : x + CELLS, None] + step]).all(1) for x in range(0, max(1, len(t)), CELLS)])
+        which, q, t = which[same], q[same], t[same]
         key = which * (1 << 40) + (t - q + (1 << 30))
         _, first = np.unique(key, return_index=True)  # t ascends, so the first is the least t
         return which[first], q[first], t[first]
@@ -215,7 +307,7 @@ def seeded_search(
             for b in batches:
                 rows, parts = [], []
                 for i, s in enumerate(b.column(text).to_pylist()):
-                    codes = _codes(s or "")
+                    codes = _codes((s or "").upper())
                     for index, numbers in seeds:
                         every = index.of(codes)
                         size = max(1, CELLS // index.letters.shape[1])
@@ -234,6 +326,7 @@ def seeded_search(
                     yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], [*rest, "probe_no", "start", "length", "identity", "score"])
 
         fields = ", ".join(f"`{c}` {targets.schema[c].dataType.simpleString()}" for c in rest)
+        ship(targets.sparkSession)
         found = targets.mapInArrow(run, f"{fields}, probe_no long, start long, length long, identity double, score long")
         out = found if out is None else out.union(found)
     if out is None:
@@ -250,7 +343,7 @@ def numbered(probes: DataFrame) -> DataFrame:
 def fuzzy_search(
     corpus: DataFrame, queries: DataFrame, min_identity: float = MIN_IDENTITY, min_coverage: float = MIN_COVERAGE, k: int = SEED
 ) -> DataFrame:
-    """As exact_search, seeded by shared k-mers and extended without gaps."""
+    """As exact_search, seeded by shared k-mers (k of PREFIX at most) and extended without gaps; upper and lower case are one."""
     probes = numbered(both_strands(queries.select("query_id", "sequence")).select("query_id", "strand", "probe"))
     hits = seeded_search(corpus.select("file", "name", "sequence"), "sequence", probes, k, min_identity, min_coverage)
     hits = hits.join(small(probes.drop("probe")), "probe_no")
@@ -295,7 +388,7 @@ def _within(targets: DataFrame, probes: DataFrame, most: int, k: int, longest: i
     pieces = probes.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: i * piece)).alias("piece_at"))
     pieces = pieces.withColumn("_key", F.substr(F.col("probe"), F.col("piece_at") + 1, F.lit(k)))
     doubled = targets.select("file", F.length("sequence").alias("n"), F.when(F.col("circular"), F.concat("sequence", "sequence")).otherwise(F.col("sequence")).alias("text"))
-    found = kmers(doubled, "text", k, 0, longest - 1, whole=True, kmer="_kmer").join(small(pieces), F.col("_kmer") == F.col("_key"))
+    found = occurrences(doubled, "text", pieces, "_key", around=longest)
     local = F.col("_i") - F.col("piece_at")
     found = found.withColumn("start", F.col("at") - F.col("piece_at")).where((local >= 0) & (local + F.length("probe") <= F.length("chunk")))
     window = F.substr(F.col("chunk"), local + 1, F.length("probe"))

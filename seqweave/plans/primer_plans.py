@@ -70,4 +70,5 @@ QUERIES = {
     "primer_search": (primer_search, SEARCH_SQL),
     "primer_search_scoped": (primer_search_scoped, SCOPED_SQL),
     "primer_search_capped": (primer_search_capped, CAPPED_SQL),
+    "in_silico_pcr": (in_silico_pcr, PCR_SQL),
 }

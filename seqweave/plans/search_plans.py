@@ -31,7 +31,7 @@ frames AS (
 
 
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.ranked(search.exact_search(corpus(spark, sf_dir), queries(spark, sf_dir)))
+    return search.exact_search(corpus(spark, sf_dir), queries(spark, sf_dir))
 
 
 EXACT_SQL = f"""
@@ -42,10 +42,8 @@ places AS (
 hits AS (
   SELECT query_id, file, name, pos::BIGINT AS start, (pos + length(probe) - 1)::BIGINT AS "end", strand, length(probe)::BIGINT AS length,
          1.0::DOUBLE AS identity, length(probe)::BIGINT AS score, NULL::INT AS frame
-  FROM places WHERE substr(sequence, (pos + 1)::INT, length(probe)) = probe),
-ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, identity DESC, start, file, strand DESC, frame NULLS FIRST, "end") AS rank FROM hits)
-SELECT * FROM ordered WHERE rank <= 500
+  FROM places WHERE substr(sequence, (pos + 1)::INT, length(probe)) = probe)
+SELECT * FROM hits
 """
 
 
@@ -116,14 +114,13 @@ SIX_SQL = f"WITH {CORPUS_SQL}, {FRAMES_SQL} SELECT file, frame::INT AS frame, pr
 
 
 def _peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five residues of each query's first frame, of those that have four pos least."""
-    q = queries(spark, sf_dir).select("query_id", F.substr(S.translate_frame("sequence", 0), F.lit(1), F.lit(5)).alias("sequence"))
-    return q.where(F.length("sequence") >= 4)
+    """Each query's first frame."""
+    return queries(spark, sf_dir).select("query_id", S.translate_frame("sequence", 0).alias("sequence"))
 
 
-PEPTIDES_SQL = f"""{QUERIES_SQL}, peptides AS (SELECT * FROM (
-  SELECT query_id, array_to_string(list_transform(range(0, least(5, length(sequence) // 3)), lambda i: {aa("substr(sequence, (3 * i + 1)::INT, 3)")}), '') AS sequence
-  FROM queries) WHERE length(sequence) >= 4)"""
+PEPTIDES_SQL = f"""{QUERIES_SQL}, peptides AS (
+  SELECT query_id, array_to_string(list_transform(range(0, length(sequence) // 3), lambda i: {aa("substr(sequence, (3 * i + 1)::INT, 3)")}), '') AS sequence
+  FROM queries)"""
 FRAME_COORDS = """(CASE WHEN strand > 0 THEN o + 3 * pos ELSE bases - 1 - (o + 3 * (pos + {n}) - 1) END)::BIGINT AS start,
        (CASE WHEN strand > 0 THEN o + 3 * (pos + {n}) - 1 ELSE bases - 1 - (o + 3 * pos) END)::BIGINT AS "end" """
 
@@ -136,7 +133,7 @@ PROTEIN_SQL = f"""
 WITH {CORPUS_SQL}, {PEPTIDES_SQL}, {FRAMES_SQL},
 places AS (
   SELECT f.*, p.query_id, p.sequence AS probe, unnest(range(0, greatest(0, length(protein) - length(p.sequence) + 1))) AS pos
-  FROM frames f JOIN peptides p ON contains(f.protein, p.sequence))
+  FROM frames f JOIN peptides p ON p.sequence <> '' AND contains(f.protein, p.sequence))
 SELECT query_id, file, name, {FRAME_COORDS.format(n="length(probe)")}, strand, length(probe)::BIGINT AS length, 1.0::DOUBLE AS identity,
        length(probe)::BIGINT AS score, frame::INT AS frame
 FROM places WHERE substr(protein, (pos + 1)::INT, length(probe)) = probe
@@ -144,15 +141,14 @@ FROM places WHERE substr(protein, (pos + 1)::INT, length(probe)) = probe
 
 
 def protein_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = queries(spark, sf_dir).select("query_id", S.translate_frame("sequence", 0).alias("sequence")).where(F.length("sequence") >= 10)
-    return search.protein_fuzzy_search(corpus(spark, sf_dir), q, min_identity=0.7)
+    return search.protein_fuzzy_search(corpus(spark, sf_dir), _peptides(spark, sf_dir), min_identity=0.7)
 
 
 PROTEIN_FUZZY_SQL = fuzzy_sql(
     f"""{CORPUS_SQL}, {FRAMES_SQL}, targets AS (SELECT file || '|' || frame AS file, name, protein AS sequence FROM frames)""",
     f"""{QUERIES_SQL}, whole AS (SELECT query_id, array_to_string(list_transform(range(0, length(sequence) // 3),
         lambda i: {aa("substr(sequence, (3 * i + 1)::INT, 3)")}), '') AS probe FROM queries),
-      searched AS (SELECT query_id, 1 AS strand, probe, least(11, greatest(3, length(probe) // 2))::INT AS k FROM whole WHERE length(probe) >= 10)""",
+      searched AS (SELECT query_id, 1 AS strand, probe, least(11, greatest(3, length(probe) // 2))::INT AS k FROM whole)""",
     "", f"""SELECT query_id, split_part(h.file, '|', 1) AS file, h.name, {FRAME_COORDS.format(n="length")}, f.strand, length::BIGINT AS length, identity,
        score::BIGINT AS score, frame::INT AS frame FROM (SELECT * EXCLUDE (strand, name), name AS name FROM hits) h
        JOIN frames f ON h.file = f.file || '|' || f.frame""", 0.7,
@@ -160,14 +156,13 @@ PROTEIN_FUZZY_SQL = fuzzy_sql(
 
 
 def find_with_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = queries(spark, sf_dir).where(F.length("sequence") >= 18)
-    return search.find_with_mismatches(corpus(spark, sf_dir).select("file", "sequence", "circular"), q, 2)
+    return search.find_with_mismatches(corpus(spark, sf_dir).select("file", "sequence", "circular"), queries(spark, sf_dir), 2)
 
 
 MISMATCH_SQL = f"""
 WITH {CORPUS_SQL}, {QUERIES_SQL}, {STRANDS_SQL},
 doubled AS (SELECT file, length(sequence) AS n, CASE WHEN circular THEN sequence || sequence ELSE sequence END AS text FROM corpus),
-lengths AS (SELECT DISTINCT length(probe) AS m FROM probes WHERE length(probe) >= 18),
+lengths AS (SELECT DISTINCT length(probe) AS m FROM probes WHERE length(probe) > 2),
 windows AS (
   SELECT file, n, m, pos, substr(text, (pos + 1)::INT, m) AS w
   FROM (SELECT file, n, text, m, unnest(range(0, greatest(0, length(text) - m + 1))) AS pos FROM doubled, lengths))
@@ -176,23 +171,6 @@ FROM windows JOIN probes ON length(probe) = m AND hamming(w, probe) <= 2
 """
 
 
-def _whole_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries(spark, sf_dir).select("query_id", S.translate_frame("sequence", 0).alias("sequence"))
-
-
-def protein_exact_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole peptides of every benchmark row; without SQL, as the given SQL reads a part of them; like the other two."""
-    return search.protein_exact_search(corpus(spark, sf_dir), _whole_peptides(spark, sf_dir))
-
-
-def protein_fuzzy_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.protein_fuzzy_search(corpus(spark, sf_dir), _whole_peptides(spark, sf_dir), min_identity=0.7)
-
-
-def find_with_mismatches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.find_with_mismatches(corpus(spark, sf_dir).select("file", "sequence", "circular"), queries(spark, sf_dir), 2)
-
-
 def hit_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = exact_search(spark, sf_dir)
     text = F.lower(F.concat_ws(" ", "name", "file"))
@@ -237,9 +215,6 @@ QUERIES = {
     "protein_exact_search": (protein_exact_search, PROTEIN_SQL),
     "protein_fuzzy_search": (protein_fuzzy_search, PROTEIN_FUZZY_SQL),
     "find_with_mismatches": (find_with_mismatches, MISMATCH_SQL),
-    "protein_exact_search_all": (protein_exact_search_all, None),
-    "protein_fuzzy_search_all": (protein_fuzzy_search_all, None),
-    "find_with_mismatches_all": (find_with_mismatches_all, None),
     "hit_text_filter": (hit_text_filter, FILTER_SQL),
     "sorted_hits": (sorted_hits, SORTED_SQL),
     "natural_sort": (natural_sort, NATURAL_SQL),

@@ -202,7 +202,7 @@ def test_searches_take_every_benchmark_row_whole(spark, tmp_path):
     items = [texts[2][30:39], texts[1][20:32], texts[0][3:20], texts[2][60:108], "ACG", ""]
     spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    run = {k: catalog.queries()[k](spark, str(tmp_path)).collect() for k in ("find_with_mismatches_all", "protein_exact_search_all", "protein_fuzzy_search_all")}
+    run = {k: catalog.queries()[k](spark, str(tmp_path)).collect() for k in ("find_with_mismatches", "protein_exact_search", "protein_fuzzy_search")}
     want = set()
     for q, item in enumerate(items):
         for strand, p in {(1, item)} | ({(-1, S_rc(item))} if S_rc(item) != item else set()):
@@ -211,10 +211,10 @@ def test_searches_take_every_benchmark_row_whole(spark, tmp_path):
                 for i in range(len(ring) - len(p) + 1 if len(p) > 2 else 0):
                     if sum(a != b for a, b in zip(ring[i : i + len(p)], p, strict=True)) <= 2:
                         want.add((q, f"doc{d}", strand, i % len(text), (i + len(p) - 1) % len(text)))
-    assert {tuple(r) for r in run["find_with_mismatches_all"]} == want and {0, 1, 2, 3} <= {r[0] for r in want}
+    assert {tuple(r) for r in run["find_with_mismatches"]} == want and {0, 1, 2, 3} <= {r[0] for r in want}
     whole = {(0, "doc2", 30, 38, 3), (1, "doc1", 20, 31, 4), (2, "doc0", 3, 17, 5), (3, "doc2", 60, 107, 16)}
-    assert whole <= {(r.query_id, r.file, r.start, r.end, r.length) for r in run["protein_exact_search_all"]}
-    assert whole <= {(r.query_id, r.file, r.start, r.end, r.length) for r in run["protein_fuzzy_search_all"]}
+    assert whole <= {(r.query_id, r.file, r.start, r.end, r.length) for r in run["protein_exact_search"]}
+    assert whole <= {(r.query_id, r.file, r.start, r.end, r.length) for r in run["protein_fuzzy_search"]}
 
 
 def test_aligner_finds_planted_changes():
