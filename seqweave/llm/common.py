@@ -7,26 +7,22 @@ workers, how rows with hostile schemas are read.
 from __future__ import annotations
 
 import ctypes
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of text handed to Python at once; with MAX_BATCH_BYTES it bounds a worker's memory.
-BATCH_ROWS = 2000
-
-_PACKAGE = Path(__file__).resolve().parents[1]
+#: Rows that are Python objects at once, and their bytes: no more rows than that many of the batch's average size.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,28 +77,9 @@ def discard(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes the package importable on executors; a no-op where the search path already has it."""
-    root = str(_PACKAGE.parent)
-    places = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if os.path.realpath(root) in places or os.path.realpath(os.getcwd()) == os.path.realpath(root):
-        return
-    context = spark.sparkContext
-    if getattr(context, "_seqweave_shipped", False):
-        return
-    blob = io.BytesIO()
-    with zipfile.ZipFile(blob, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE.parent))
-    target = Path(tempfile.mkdtemp(prefix="seqweave-code-")) / "seqweave.zip"
-    target.write_bytes(blob.getvalue())
-    context.addPyFile(str(target))
-    context._seqweave_shipped = True
-
-
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with the package shipped.  Executors pull rows in batches bounded by rows and bytes; a worker gives freed
-    memory back when a task ends, as idle workers stay beside the executor's heap."""
+    """mapInArrow with the package shipped.  A worker gives freed memory back when a task ends, as idle workers stay beside
+    the executor's heap."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +100,11 @@ def release() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that Python objects of at most `rows` texts are alive at once."""
+    """Smaller batches, so that Python objects of at most `rows` texts are alive at once, of BATCH_BYTES on average."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        few = max(1, min(rows, BATCH_BYTES * b.num_rows // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, few):
+            yield b.slice(at, few)
 
 
 def text_of(column: str | Column = "text") -> Column:

@@ -9,7 +9,7 @@ with "any other word" as one more bin.  A document too short for a histogram to
 The base rules need no reference: too few words, or too many words inside repeated windows of WINDOW words.
 
 Defined results: a null text counts as empty and fails the base rules; a null lang is a language of its own; a language
-with fewer than MIN_DOCS documents is compared with the reference of all documents; repeated rows are judged alike; an
+with fewer than MIN_DOCS documents of MIN_CHARS characters is compared with the reference of all documents; repeated rows are judged alike; an
 empty table gives no rows; columns other than doc_id, text and lang are ignored.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = (0.10, 3.6), (0.27, 1.4)
 #: Shares of a class are counted in bins of their square root.
 BINS = 1000
 SYMBOLS = b"#*$%&|<>"
-#: Distinct words that are counted before their counts leave the worker.
-FLUSH = 300_000
+#: Distinct words, and languages' tables, that are counted before they leave the worker.
+FLUSH, TABLES = 100_000, 128
 
 CLASSES = ("lower", "upper", "digit", "space", "line end", "stop", "comma", "symbol", "bar", "mark", "other", "beyond ASCII")
 
@@ -107,77 +108,103 @@ def base(text: str | None) -> tuple[tuple[int, int, int, int, int], list[bytes],
     return (len(words), chars - white, int(by_byte[list(SYMBOLS)].sum()), dup, repeated_words(words)), words, by_class
 
 
-def references(docs: DataFrame) -> dict[str | None, dict]:
-    """By language: classes (documents by class and bin), words (the common words' counts), n_words.  Over all documents."""
+def histograms(docs: DataFrame) -> DataFrame:
+    """lang, kind (class or word), class, key, n: documents by class and bin, and counts of lower-case words.  Over all documents.
+
+    Counts leave a worker after FLUSH distinct words or languages' tables of the same size, in small batches, and are
+    summed by Spark.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str | None, tuple[Counter, np.ndarray]] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows: list[tuple[str | None, str, bytes, int]] = []
-            for lang, (words, sums) in counts.items():
-                rows += [(lang, "word", w, n) for w, n in words.items()]
-                rows += [(lang, "class", f"{k}:{at}".encode(), int(sums[k, at])) for k, at in zip(*np.nonzero(sums), strict=True)]
-            counts.clear()
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "kind", "key", "n"])
+        words: dict[str | None, Counter] = {}
+        bins: dict[str | None, np.ndarray] = {}
+
+        def rows() -> Iterator[tuple]:
+            for lang, held in words.items():
+                yield from ((lang, None, w, n) for w, n in held.items())
+            for lang, table in bins.items():
+                for k, at in zip(*(x.tolist() for x in np.nonzero(table)), strict=True):
+                    yield lang, k, str(at).encode(), int(table[k, at])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            every = rows()
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+            while some := list(islice(every, 20_000)):
+                cols = zip(zip(*some, strict=True), kinds, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], ["lang", "class", "key", "n"])
+            words.clear()
+            bins.clear()
 
         for b in common.slices(batches, 500):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                words, sums = counts.setdefault(lang, (Counter(), np.zeros((len(CLASSES), BINS + 1), np.int64)))
-                words.update(data.lower().split())
+                words.setdefault(lang, Counter()).update(data.lower().split())
                 by_class = classes(data)[1]
                 if by_class.sum() >= MIN_CHARS:
-                    at = np.rint(np.sqrt(by_class / by_class.sum()) * BINS).astype(np.int64)
-                    sums[np.arange(len(CLASSES)), at] += 1
-            if sum(len(w) for w, _ in counts.values()) > FLUSH:
-                yield flush()
-        yield flush()
-
-    rows = common.map_batches(docs.select("text", "lang"), run, "lang string, kind string, key binary, n long")
-    rows = common.written(rows.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "histograms")
-    words = rows.where("kind = 'word'")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
-    # A language's top words: COMMON candidates from each of 64 parts, then COMMON of those.
+                    table = bins.get(lang)
+                    if table is None:
+                        table = bins[lang] = np.zeros((len(CLASSES), BINS + 1), np.int32)
+                    table[np.arange(len(CLASSES)), np.rint(np.sqrt(by_class / by_class.sum()) * BINS).astype(np.int64)] += 1
+                if len(bins) > TABLES:
+                    yield from flush()
+            if sum(map(len, words.values())) > FLUSH:
+                yield from flush()
+        yield from flush()
+
+    rows = common.map_batches(docs.select("text", "lang"), run, "lang string, class int, key binary, n long")
+    return common.written(rows.groupBy("lang", "class", "key").agg(F.sum("n").alias("n")), "histograms")
+
+
+def summarised(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(by, class, middle, docs; by, key, n, n_words): the median bin of each class, and the COMMON most frequent words."""
+    bins = rows.where("class IS NOT NULL").withColumn("at", F.col("key").cast("string").cast("int"))
+    bins = bins.groupBy(*by, "class", "at").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(*by, "class").orderBy("at")  # BINS + 1 rows at most
+    below = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    half = bins.withColumn("below", below).withColumn("docs", total).where(2 * F.col("below") >= F.col("docs"))
+    middle = half.groupBy(*by, "class").agg(F.min("at").alias("middle"), F.first("docs").alias("docs"))
+    words = rows.where("class IS NULL").groupBy(*by, "key").agg(F.sum("n").alias("n"))
+    totals = words.groupBy(*by).agg(F.sum("n").alias("n_words"))
+    # COMMON candidates from each of 64 parts, then COMMON of those.
     part = words.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64)))
-    best = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "key")
-    some = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= COMMON)
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    top = some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= COMMON).select("lang", "key", "n")
-    found: dict[str | None, dict] = {}
-
-    def of(lang: str | None) -> dict:
-        return found.setdefault(lang, {"classes": np.zeros((len(CLASSES), BINS + 1)), "words": {}, "n_words": 0})
-
-    for r in rows.where("kind = 'class'").toLocalIterator():  # len(CLASSES) * BINS rows a language at most
-        k, at = map(int, bytes(r.key).split(b":"))
-        of(r.lang)["classes"][k, at] = r.n
-    for r in totals.toLocalIterator():
-        of(r.lang)["n_words"] = r.n_words
-    for r in top.toLocalIterator():  # COMMON rows a language
-        of(r.lang)["words"][bytes(r.key)] = r.n
-    return found
-
-
-def prepared(found: dict[str | None, dict]) -> dict:
-    """Distributions to compare with, by language; under "" in `whole`, of all documents."""
-
-    def shares(x: dict) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
-        words = sorted(x["words"].items(), key=lambda w: (-w[1], w[0]))[:COMMON]
-        counts = np.array([n for _, n in words] + [max(0, x["n_words"] - sum(n for _, n in words))], float)
-        below = np.cumsum(x["classes"], 1)
-        middle = (below * 2 < below[:, -1:]).sum(1) / BINS
-        usual = middle**2
+    for group in ([*by, "part"], by):
+        best = Window.partitionBy(*group).orderBy(F.desc("n"), "key")
+        part = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= COMMON)
+    top = part.select(*by, "key", "n")
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    joined = top.alias("t").join(totals.alias("s"), same)
+    return middle, joined.select(*[f"t.{c}" for c in by], "key", "n", "n_words")
+
+
+def references(docs: DataFrame) -> dict:
+    """Distributions to compare with, over all documents: by language, of those with MIN_DOCS documents, and of the whole."""
+    rows = histograms(docs)
+
+    def shares(middle: dict[int, int], words: list[tuple[bytes, int]], n_words: int) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+        usual = (np.array([middle.get(k, 0) for k in range(len(CLASSES))]) / BINS) ** 2
+        words = sorted(words, key=lambda w: (-w[1], w[0]))
+        counts = np.array([n for _, n in words] + [n_words - sum(n for _, n in words)], float)
         return usual / max(1e-9, usual.sum()), {w: i for i, (w, _) in enumerate(words)}, counts / max(1, counts.sum())
 
-    every = {"classes": np.zeros((len(CLASSES), BINS + 1)), "words": Counter(), "n_words": 0}
-    for x in found.values():
-        every["classes"] = every["classes"] + x["classes"]
-        every["words"].update(x["words"])
-        every["n_words"] += x["n_words"]
-    return {"whole": shares(every), "by": {k: shares(x) for k, x in found.items() if x["classes"][0].sum() >= MIN_DOCS}}
+    def collected(rows: DataFrame, least: int) -> dict[str | None, tuple]:
+        """By lang, with enough documents: len(CLASSES) and COMMON rows of each."""
+        middle, words = summarised(rows, ["lang"])
+        middle = middle.where(F.col("docs") >= least)
+        held: dict[str | None, tuple[dict, list, list]] = {}
+        for r in middle.toLocalIterator():
+            held.setdefault(r.lang, ({}, [], [0]))[0][r["class"]] = r.middle
+        if least:
+            known = middle.where(F.col("class") == 0).select(F.col("lang").alias("known"))
+            words = words.join(known, F.col("lang").eqNullSafe(F.col("known")), "left_semi")
+        for r in words.toLocalIterator():
+            x = held.setdefault(r.lang, ({}, [], [0]))
+            x[1].append((bytes(r.key), r.n))
+            x[2][0] = r.n_words
+        return {k: shares(m, w, n[0]) for k, (m, w, n) in held.items()}
+
+    whole = collected(rows.withColumn("lang", F.lit("")), 0).get("") or shares({}, [], 0)
+    return {"whole": whole, "by": collected(rows, MIN_DOCS)}
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -198,7 +225,7 @@ def allowed(distance: float | None, limits: tuple[float, float], size: int) -> b
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance (null where not judged), kept."""
     docs = docs.select("doc_id", "text", "lang")
-    shared = docs.sparkSession.sparkContext.broadcast(prepared(references(docs)))
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -276,6 +276,61 @@ def test_quality_rules_base_counts(hostile, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+def test_quality_rules_equal_brute_force(spark):
+    """References, distances and verdicts from their definitions, over several languages and few workers' flushes."""
+    rng = random.Random(12)
+    words = {lang: [sentence(rng, 1) for _ in range(150)] for lang in ("en", "de", None, "xx")}
+    rows = []
+    for i in range(150):
+        lang = rng.choice(["en", "de", None]) if i > 5 else "xx"
+        text = " ".join(rng.choices(words[lang], weights=range(1, 151), k=rng.choice([5, 60, 150, 400])))
+        rows.append((i, text.upper() if i % 13 == 0 else " | ".join(text.split()) if i % 17 == 0 else text, lang))
+    rows += [(150, None, None), (151, "", "en"), (152, rows[9][1], "en"), (152, rows[9][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    q = quality_rules
+
+    def reference(texts):
+        held = [q.classes((t or "").encode())[1] for t in texts]
+        held = [x / x.sum() for x in held if x.sum() >= q.MIN_CHARS]
+        bins = np.sort(np.rint(np.sqrt(np.array(held).reshape(-1, len(q.CLASSES))) * q.BINS), axis=0)
+        usual = (bins[(len(held) + 1) // 2 - 1] / q.BINS) ** 2 if held else np.zeros(len(q.CLASSES))
+        counts = Counter(w for t in texts for w in (t or "").lower().split())
+        top = sorted(counts, key=lambda w: (-counts[w], w.encode()))[: q.COMMON]
+        return len(held), usual / max(1e-9, usual.sum()), top, counts
+
+    whole = reference([t for _, t, _ in rows])
+    by = {lang: reference([t for _, t, x in rows if x == lang]) for lang in words}
+
+    def js(p, m):
+        return sum(a * math.log2(a / b) for a, b in zip(p, m, strict=True) if a > 0)
+
+    def divergence(p, r):
+        m = [(a + b) / 2 for a, b in zip(p, r, strict=True)]
+        return math.sqrt(max(0, (js(p, m) + js(r, m)) / 2))
+
+    got = {r.doc_id: r for r in q.judge(docs).collect()}
+    judged = 0
+    for i, text, lang in rows:
+        n, usual, top, counts = by[lang] if by[lang][0] >= q.MIN_DOCS else whole
+        data = (text or "").encode()
+        own, split = q.classes(data)[1], (text or "").lower().split()
+        d_class = divergence(own / own.sum(), usual) if own.sum() >= q.MIN_CHARS else None
+        d_word = None
+        if len(split) >= q.MIN_WORDS:
+            total = sum(counts.values())
+            r = [counts[w] / total for w in top]
+            p = [split.count(w) / len(split) for w in top]
+            d_word = divergence([*p, 1 - sum(p)], [*r, 1 - sum(r)])
+            judged += 1
+        assert got[i].class_distance == (None if d_class is None else pytest.approx(d_class, abs=1e-6))
+        assert got[i].word_distance == (None if d_word is None else pytest.approx(d_word, abs=1e-6))
+        fine = (d_class is None or d_class <= q.MAX_CLASS_DISTANCE[0] + q.MAX_CLASS_DISTANCE[1] / own.sum() ** 0.5) and (
+            d_word is None or d_word <= q.MAX_WORD_DISTANCE[0] + q.MAX_WORD_DISTANCE[1] / len(split) ** 0.5
+        )
+        assert got[i].kept == (not got[i].base_failed and bool(fine))
+    assert judged > 20 and by["xx"][0] < q.MIN_DOCS and len({r.kept for r in got.values()}) == 2
+
+
 def test_repeated_words_random():
     rng = random.Random(5)
     for _ in range(200):
