@@ -31,7 +31,7 @@ from . import common
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
 #: Shingles of a piece; windows hold twice as many.
-PIECE = 8
+PIECE = 16
 BANDS = 16
 #: Candidates that are broadcast to the second pass; more of them are shuffled.
 BROADCAST_ROWS = 200_000
@@ -133,26 +133,18 @@ def mask(band: int) -> int:
 
 
 def least_keys(hashes: Column, starts: Column, size: int) -> Column:
-    """An array of (band, key): of each window of `size` hashes from a start, the least permuted hash in every band."""
+    """Of each window of `size` hashes from a start, the least permuted hash in every band.
+
+    A key tells its band, as the same hash is another key in each.
+    """
 
     def keys(band: int) -> Column:
         permuted = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask(band))))
-        least = let(permuted, lambda p: F.transform(starts, lambda at: F.array_min(F.slice(p, at + 1, size))))
-        return F.transform(F.array_distinct(least), lambda k: F.struct(F.lit(band).alias("band"), k.alias("key")))
+        return let(permuted, lambda p: F.transform(starts, lambda at: F.array_min(F.slice(p, at + 1, size))))
 
     return F.concat(*[keys(band) for band in range(BANDS)])
 
 
-def single_keys(hashes: Column) -> Column:
-    """Keys of windows of one shingle: band -1."""
-    return F.transform(hashes, lambda h: F.struct(F.lit(-1).alias("band"), h.alias("key")))
-
-
-def window_starts(hashes: Column) -> Column:
-    """Every PIECE; the last window may be cut off."""
-    return places(F.size(hashes), PIECE)
-
-
 def template_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFrame:
     """license, shingles (distinct, as text), hashes, span (positions): a row a template, whatever the corpus."""
     table = spark.createDataFrame(sorted(templates.items()), "license string, text string")
@@ -165,22 +157,23 @@ def template_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFra
 
 
 def bands(table: DataFrame, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
-    """band, key, license: the keys that retrieve a template, a few a piece."""
+    """key, license: the keys that retrieve a template, a few a piece."""
     distinct = F.array_sort(F.array_distinct("hashes"))
     spare = F.size(distinct) - F.ceil(F.size(distinct) * F.lit(min_containment)).cast("int")
     few = F.slice(distinct, 1, spare + 1)
-    starts = F.transform(places(F.floor(F.col("span") / PIECE).cast("int")), lambda k: k * PIECE)
-    keys = F.when(F.col("span") < PIECE, single_keys(few)).otherwise(least_keys(F.col("hashes"), starts, PIECE))
-    return table.select("license", F.explode(keys).alias("k")).select("k.band", "k.key", "license").distinct()
+    # The last piece ends with the template.
+    starts = F.transform(places(F.ceil(F.col("span") / PIECE).cast("int")), lambda k: F.least(k * PIECE, F.col("span") - PIECE))
+    keys = F.when(F.col("span") < PIECE, few).otherwise(least_keys(F.col("hashes"), starts, PIECE))
+    return table.select("license", F.explode(keys).alias("key")).select("key", "license").distinct()
 
 
 def candidates(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """doc_id, licenses of the documents that agree with a template on a band."""
     hashes = docs.select("doc_id", let(words_of(common.text_of()), hashes_of).alias("hashes")).where(F.size("hashes") > 0)
-    found = F.concat(single_keys(F.col("hashes")), let(F.col("hashes"), lambda h: least_keys(h, window_starts(h), 2 * PIECE)))
-    own = hashes.select("doc_id", F.explode(found).alias("k")).select("doc_id", "k.band", "k.key")
+    found = let(F.col("hashes"), lambda h: F.concat(h, least_keys(h, places(F.size(h), PIECE), 2 * PIECE)))
+    own = hashes.select("doc_id", F.explode(found).alias("key"))
     # The templates' keys: BANDS a piece at most, whatever the corpus.
-    met = own.join(F.broadcast(keys), ["band", "key"]).groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n"))
+    met = own.join(F.broadcast(keys), "key").groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n"))
     return met.groupBy("doc_id").agg(F.collect_list("license").alias("licenses"))  # as many as there are templates at most
 
 
