@@ -28,9 +28,12 @@ CYCLE = (1, 2, 3)
 MAX_EPOCHS = 3
 
 
-def key_of(seed: str, *columns: str) -> Column:
-    """A hash-random key of 32 hex digits.  The same rows get the same keys on every run and engine."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
+def key_of(seed: str) -> Column:
+    """A hash-random key of 32 hex digits, of doc_id and text, so that rows of one id are spread too.
+
+    The same rows get the same keys on every run and engine.
+    """
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(common.text_of().cast("binary"))]
     return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
 
 
@@ -71,7 +74,7 @@ def mix_plan(docs: DataFrame, seed: str = "mix", max_epochs: int = MAX_EPOCHS, c
     last document whole if most of it fits.
     """
     slim = docs.select(
-        "doc_id", "source", common.word_count(common.text_of()).alias("size"), key_of(seed, "doc_id").alias("key")
+        "doc_id", "source", common.word_count(common.text_of()).alias("size"), key_of(seed).alias("key")
     )
     slim = common.written(slim.withColumn("src", source_key()), "mix")
     rows = slim.count()
@@ -103,19 +106,22 @@ def mix_plan(docs: DataFrame, seed: str = "mix", max_epochs: int = MAX_EPOCHS, c
     else:
         last = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     taken = (epochs * F.col("size") + last).cast("long")
-    return placed.select("doc_id", "source", "src", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "source", "key", "src", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mixed documents: a row for each time a document is taken, with the columns of docs.
 
     Documents stay whole here, so a source misses its target by half a document at most.  Empty documents are not taken.
-    Rows alike in doc_id, source and size are taken as often as the luckiest of them.
+    Of rows alike in doc_id, source and text, those that come first in some order are taken more often, if they can't all
+    be as often.
     """
-    plan = mix_plan(docs, seed, max_epochs, cut="document").where("taken > 0")
-    keys = {"__sw_id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "__sw_src": source_key()}
-    copies = plan.select(keys["__sw_id"].alias("__sw_id"), F.col("src").alias("__sw_src"), F.col("size").alias("__sw_size"), "taken")
-    copies = copies.groupBy("__sw_id", "__sw_src", "__sw_size").agg(F.max(F.col("taken") / F.col("__sw_size")).cast("int").alias("__sw_copies"))
-    own = docs.withColumns(keys | {"__sw_size": common.word_count(common.text_of())})
-    joined = own.join(copies, ["__sw_id", "__sw_src", "__sw_size"])
-    return joined.withColumn("__sw_copy", F.explode(F.sequence(F.lit(1), F.col("__sw_copies")))).select(*docs.columns)
+    plan = mix_plan(docs, seed, max_epochs, cut="document")
+    alike = plan.groupBy(F.col("key").alias("__sw_key"), F.col("src").alias("__sw_src"))
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    copies = alike.agg(F.sum(times).alias("__sw_copies"), F.count(F.lit(1)).alias("__sw_rows")).where("__sw_copies > 0")
+    joined = docs.withColumns({"__sw_key": key_of(seed), "__sw_src": source_key()}).join(copies, ["__sw_key", "__sw_src"])
+    place = F.row_number().over(Window.partitionBy("__sw_key", "__sw_src").orderBy(F.lit(0)))
+    more = (F.col("__sw_place") <= F.col("__sw_copies") % F.col("__sw_rows")).cast("long")
+    own = joined.withColumn("__sw_place", place).withColumn("__sw_n", F.floor(F.col("__sw_copies") / F.col("__sw_rows")) + more)
+    return own.where("__sw_n > 0").withColumn("__sw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__sw_n")))).select(*docs.columns)
