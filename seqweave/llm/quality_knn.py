@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     # The sample has 2 * SAMPLE ids at most.
     rows = docs.join(F.broadcast(ids), "doc_id").select("text", "y", "doc_id")
     got = common.map_batches(rows, run, "c array<float>, y int, id string")
-    got = got.groupBy("id").agg(F.first("c").alias("c"), F.first("y").alias("y")).orderBy("id").toArrow()
+    got = got.groupBy("id").agg(F.max("c").alias("c"), F.max("y").alias("y")).orderBy("id").toArrow()
     if got.num_rows == 0:
         return None
     held, many = frequencies(docs)
