@@ -281,14 +281,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row."""
+def near_duplicates(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row.
+
+    partitions: groups of bits, 2 to 4; by default as PARTITIONS has them.  Links are the same for any number.
+    """
     own = common.written(fingerprints(docs), "fingerprints")
     reps = common.written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     many = reps.count()
     if many == 0:
         return own.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    m = next(m for upto, m in PARTITIONS if many <= upto)
+    m = partitions or next(m for upto, m in PARTITIONS if many <= upto)
     joined = components(links(reps, bit_partitions(reps, m)))
     tree = joined.union(joined.select("root", "root")).distinct().withColumnRenamed("node", "fp")
     rooted = reps.join(tree, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -299,6 +302,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the smallest id of their component, with their columns."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__sw_kept"), F.col("doc_id").eqNullSafe(F.col("__sw_kept"))).drop("__sw_kept")
+    """The rows of docs that are the smallest id of their component, with their columns.
+
+    Of rows with one doc_id and several texts those stay whose own component has no smaller id.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = common.written(near_duplicates(docs).select(F.col("doc_id").alias("__sw_id"), "fingerprint", stays.alias("__sw_stays")), "near-duplicates")
+    ids = found.groupBy("__sw_id").agg(F.bool_and("__sw_stays").alias("__sw_all"), F.bool_or("__sw_stays").alias("__sw_any")).where("__sw_any")
+    same = F.col("doc_id").eqNullSafe(F.col("__sw_id"))
+    joined = docs.join(ids, same)
+    whole = joined.where("__sw_all").select(*docs.columns)
+    mixed = ids.where("not __sw_all").select("__sw_id")
+    if mixed.limit(1).count() == 0:
+        return whole
+    # Rows of one id that share no fate are told by their texts' fingerprints.
+    some = _with_fingerprints(docs.join(mixed, same, "left_semi")).withColumn("__sw_hex", F.lower(F.lpad(F.hex("__sw_fp"), 16, "0")))
+    kept = found.where("__sw_stays")
+    return whole.unionByName(some.join(kept, same & (F.col("__sw_hex") == F.col("fingerprint")), "left_semi").select(*docs.columns))
+
+
+def _with_fingerprints(docs: DataFrame) -> DataFrame:
+    """docs with __sw_fp, the text's fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, "__sw_fp"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return common.map_batches(docs, run, f"{fields}, __sw_fp long")

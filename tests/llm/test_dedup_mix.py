@@ -115,6 +115,15 @@ def test_simhash_matches_brute_force(hostile, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.deduplicate(nothing).count() == 0
     kept = simhash.deduplicate(hostile)
     assert kept.columns == hostile.columns
+    assert {tuple(r) for r in simhash.near_duplicates(hostile, partitions=2).collect()} == set(got)
+
+
+def test_simhash_tells_rows_of_one_id_by_their_texts(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(60)) for _ in range(4)]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[0]), (7, texts[3]), (7, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, simhash.deduplicate(docs).collect())) == Counter([(1, texts[0]), (5, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[3])])
 
 
 @pytest.mark.parametrize("m", [4, 3, 2])

@@ -55,6 +55,25 @@ def test_pipeline_stages_keep_whole_clean_documents(spark):
     assert last.count() == docs.count() and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_stages_on_hostile_rows(spark, hostile, tmp_path):
+    """Nulls, ties, repeated and null ids, very long and empty texts, clashing columns: each stage on all that the one before keeps."""
+    labels = [(1, 0), (2, 0), (7, 0), (9, 1), (12, 1), (None, 1), (14, None)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, before = hostile, Counter(r.text for r in hostile.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, str(tmp_path)), f"hostile-{name}")
+        rows = docs.collect()
+        assert docs.columns == hostile.columns and {r.text for r in rows} <= set(before)
+        if name == "exact_dedup":
+            assert sorted(exact_dedup_key(t) for t in {exact_dedup_key(x) for x in before}) == sorted(exact_dedup_key(r.text) for r in rows)
+        elif name == "mixing":
+            sizes = {t: len((t or "").split()) for t in before}
+            taken = Counter(r.text for r in rows)
+            assert max(taken.values()) <= 3 and sum(sizes[t] * n for t, n in taken.items()) > 0
+        before = Counter(r.text for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 0
+
+
 def exact_dedup_key(text):
     return "".join((text or "").split())
 
