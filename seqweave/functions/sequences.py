@@ -69,6 +69,27 @@ def guess_molecule(s: Column | str) -> Column:
     return F.when((F.length(s) == 0) | (dna / F.greatest(F.length(s), F.lit(1)) > 0.9), "dna").otherwise("protein")
 
 
+def typed_sequence(text: Column | str, reference: Column | None = None) -> Column:
+    """(sequence, reason) of a typed or pasted sequence; reason is null if it can join an alignment.
+
+    White space, digits and one '*' at the end go.  It is held to the letters of the reference's molecule, or without one
+    to those of the molecule it looks like.
+    """
+    stripped = F.upper(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"[\s\d]", ""))
+    sequence = F.regexp_replace(stripped, r"\*$", "")
+    looks = guess_molecule(sequence)
+    protein = (looks if reference is None else F.coalesce(reference, looks)) == "protein"
+    odd = lambda letters: F.length(F.regexp_replace(sequence, f"[{letters}]", "")) > 0
+    reason = (
+        F.when(sequence == "", "empty")
+        .when(sequence.contains("*"), "stop inside")
+        .when(protein & odd(PROTEIN_LETTERS), "not protein")
+        .when(~protein & odd(DNA_LETTERS), "not dna")
+        .when(protein & (looks == "dna"), "looks like dna")
+    )
+    return F.struct(sequence.alias("sequence"), reason.alias("reason"))
+
+
 def gc_fraction(s: Column | str) -> Column:
     s = _c(s)
     return F.when(F.length(s) > 0, F.length(F.regexp_replace(s, "[^gcGC]", "")) / F.length(s))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import sequence_key
+from ..functions.sequences import sequence_key, typed_sequence
 from .tables import small
 
 MAX_ITEMS = 200
@@ -90,6 +90,31 @@ def save_folders(files: DataFrame) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.orderBy("_first")).cast("long")).drop("_first")
 
 
+def sessions(events: DataFrame) -> DataFrame:
+    """session, created (its first event's ordinal), items, place: the newest first.  events: session, ord, sequence."""
+    g = events.groupBy("session").agg(F.min("ord").alias("created"), F.count_distinct(sequence_key("sequence")).alias("items"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created"), "session")).cast("long"))
+
+
+def ingest(rows: DataFrame, reference: Column | None = None) -> DataFrame:
+    """Pasted rows (row_no, name, sequence), each held to the rules of typed_sequence(): with label, bases and reason.
+
+    Rows of which reason is null are good; the others come back with why they are refused.  Rows without name and sequence
+    are passed over.  Good rows without a name are numbered sequence1, sequence2 ... in order, past names that are taken.
+    A pasted table is small: its unnamed rows are numbered in one task.
+    """
+    name = F.trim(F.coalesce(F.col("name"), F.lit("")))
+    held = rows.where((name != "") | (F.trim(F.coalesce(F.col("sequence"), F.lit(""))) != ""))
+    held = held.withColumn("_t", typed_sequence("sequence", reference)).withColumns({"label": name, "bases": F.col("_t.sequence"), "reason": F.col("_t.reason")}).drop("_t")
+    number = F.regexp_extract("label", r"^sequence([1-9]\d{0,8})$", 1)
+    taken = F.array_sort(F.collect_set(F.when(F.col("reason").isNull() & (number != ""), number.cast("long"))).over(Window.partitionBy(F.lit(0))))
+    unnamed = (F.col("label") == "") & F.col("reason").isNull()
+    nth = F.count(F.when(unnamed, 1)).over(Window.orderBy("row_no"))
+    free = F.aggregate("_taken", F.col("_nth"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+    numbered = held.withColumns({"_taken": taken, "_nth": nth})
+    return numbered.withColumn("label", F.when(unnamed, F.concat(F.lit("sequence"), free.cast("string"))).otherwise(F.col("label"))).drop("_taken", "_nth")
+
+
 def attached(hits: DataFrame, existing: DataFrame) -> DataFrame:
     """hits with attached: whether a primer lies at the same start, end and strand of the same file already."""
     own = existing.select(*[F.col(c).alias(f"_{c}") for c in ("file", "start", "end", "strand")]).distinct()

@@ -48,44 +48,25 @@ FROM q LEFT JOIN (SELECT * FROM bad WHERE kind = 'dna') d USING (item_id) LEFT J
 
 
 def guess_molecule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 1).alias("word"))
-    return words.select("conv_id", "turn", S.guess_molecule("word").alias("molecule"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.guess_molecule("text").alias("molecule"))
 
 
 GUESS_SQL = """
 SELECT conv_id, turn, CASE WHEN word = '' OR length(regexp_replace(upper(word), '[^ACGTURYSWKMBDHVN]', '', 'g')) / length(word) > 0.9
-  THEN 'dna' ELSE 'protein' END AS molecule FROM (SELECT conv_id, turn, split_part(text, ' ', 1) AS word FROM conversations)"""
-
-
-def _typed(text, reference):
-    """(sequence, reason) of a typed sequence: reason null if it can be added."""
-    stripped = F.upper(F.regexp_replace(text, r"[\s\d]", ""))
-    protein = reference == "protein"
-    trimmed = F.regexp_replace(stripped, r"\*$", "")
-    dna_bad = F.length(F.regexp_replace(trimmed, f"[{S.DNA_LETTERS}]", "")) > 0
-    protein_bad = F.length(F.regexp_replace(trimmed, f"[{S.PROTEIN_LETTERS}]", "")) > 0
-    reason = (
-        F.when(trimmed == "", "empty")
-        .when(trimmed.contains("*"), "stop inside")
-        .when(protein & protein_bad, "not protein")
-        .when(~protein & dna_bad, "not dna")
-        .when(protein & (S.guess_molecule(trimmed) == "dna"), "looks like dna")
-    )
-    return trimmed, reason
+  THEN 'dna' ELSE 'protein' END AS molecule FROM (SELECT conv_id, turn, text AS word FROM conversations)"""
 
 
 def validate_typed_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of conversations typed against a DNA or a protein reference by turn."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 2).alias("typed"))
+    """Turns of conversations typed against a DNA or a protein reference."""
+    rows = table(spark, sf_dir, "conversations")
     reference = F.when(F.col("turn") % 2 == 0, "dna").otherwise("protein")
-    sequence, reason = _typed(F.col("typed"), reference)
-    return rows.select("conv_id", "turn", sequence.alias("sequence"), reason.alias("reason"))
+    return rows.select("conv_id", "turn", S.typed_sequence("text", reference).alias("t")).select("conv_id", "turn", "t.sequence", "t.reason")
 
 
 TYPED_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, turn % 2 = 1 AS protein, regexp_replace(upper(regexp_replace(
-    replace(array_to_string(string_split(text, ' ')[1:2], ' '), 'ß', 'SS'), '[\s\d]', '', 'g')), '\*$', '') AS s FROM conversations)
+    replace(coalesce(text, ''), 'ß', 'SS'), '[\s\d]', '', 'g')), '\*$', '') AS s FROM conversations)
 SELECT conv_id, turn, s AS sequence, CASE WHEN s = '' THEN 'empty' WHEN contains(s, '*') THEN 'stop inside'
   WHEN protein AND regexp_matches(s, '[^ACDEFGHIKLMNPQRSTVWYBXZJUO]') THEN 'not protein'
   WHEN NOT protein AND regexp_matches(s, '[^ACGTURYSWKMBDHVN]') THEN 'not dna'

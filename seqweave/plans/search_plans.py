@@ -171,15 +171,6 @@ FROM windows JOIN probes ON length(probe) = m AND hamming(w, probe) <= 2
 """
 
 
-def hit_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = exact_search(spark, sf_dir)
-    text = F.lower(F.concat_ws(" ", "name", "file"))
-    return hits.where(text.contains("src1")).select("query_id", "file", "name", "start")
-
-
-FILTER_SQL = f"""SELECT query_id, file, name, start FROM ({EXACT_SQL}) WHERE contains(lower(name || ' ' || file), 'src1')"""
-
-
 def sorted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header-click sort, kept as a place: numeric column ascending, then natural name order, descending."""
     hits = exact_search(spark, sf_dir).withColumn("natural", S.natural_key("file"))
@@ -215,7 +206,6 @@ QUERIES = {
     "protein_exact_search": (protein_exact_search, PROTEIN_SQL),
     "protein_fuzzy_search": (protein_fuzzy_search, PROTEIN_FUZZY_SQL),
     "find_with_mismatches": (find_with_mismatches, MISMATCH_SQL),
-    "hit_text_filter": (hit_text_filter, FILTER_SQL),
     "sorted_hits": (sorted_hits, SORTED_SQL),
     "natural_sort": (natural_sort, NATURAL_SQL),
 }

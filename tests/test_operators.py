@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seqweave.functions import annotations, codons
 from seqweave.functions import sequences as S
 from seqweave.functions.register import register
-from seqweave.operators import aligner, alignment, inventory, primers, scans, search, tables, traces
+from seqweave.operators import align_options, aligner, alignment, hits, inventory, primers, scans, search, tables, traces
 from seqweave.sources import exports
 from seqweave.sources import formats as M
 from seqweave.streaming import index
@@ -463,3 +463,40 @@ def test_checked_broadcast(spark):
 def test_numpy_is_exact_for_kmers():
     assert len(np.unique(search._rolled(search._codes("ACGTACGT"), 4))) == 4
 
+
+
+def test_align_options_round_trip():
+    o = align_options.parse("--localpair --maxiterate 1000 --op 2.5 --ep=0.1")
+    assert (o.strategy, o.gap_open, o.gap_extend) == ("linsi", 2.5, 0.1) and align_options.parse(align_options.compose(o)) == o
+    assert align_options.parse("") == align_options.parse(None) == align_options.Options()
+    custom = align_options.parse("--retree 3 --op x")
+    assert (custom.strategy, custom.custom, custom.gap_open) == ("custom", "--retree 3 --op x", None)
+    faults = [align_options.Options("none"), align_options.Options("custom"), align_options.Options("custom", "file.fa"), align_options.Options("custom", "- --x"), align_options.Options(gap_open=-1.0)]
+    assert all(align_options.fault(f) for f in faults) and align_options.fault(o) is None
+    assert align_options.fault(o, 61) and align_options.fault(o, 20) is None
+
+
+def test_hit_tables(spark):
+    assert hits.visible(["Note", "Other"], alias="Other") == ["pos", "str", "name", "tm", "anneal", "tail", "Other"]
+    assert hits.visible(["Note"], chosen=[]) == ["pos", "str", "name"]
+    schema = "name string, sequence string, strand int, three_prime long, wraps boolean, anneal long, overhang long, tm double, extra map<string,string>"
+    df = spark.createDataFrame([(None, "ACGT", -1, 4, True, 15, 2, None, {"Note": "Blue"}), ("x", "GG", 1, 0, False, 16, 0, 51.5, None)], schema)
+    rows = hits.table(df, hits.visible(["Note"], chosen=["tm", "tail", "Note"])).collect()
+    assert tuple(rows[0]) == ("5↩", "−", "(unnamed)", "—", "+2", "Blue") and tuple(rows[1]) == ("1", "+", "x", "51.5", "—", "")
+    count = lambda text, columns: hits.text_filter(df, text, columns).count()
+    assert (count("blue", ["Note"]), count("blue", []), count("cgt", []), count(" ", [])) == (1, 0, 1, 2)
+
+
+def test_ingest_numbers_past_names_that_are_taken(spark):
+    rows = [(1, "", "acgt"), (2, "sequence2", "GG1 23"), (3, None, "TT"), (4, "", " "), (5, "", "AC*GT"), (6, "", "MKVL"), (7, "x", None), (8, "", "CC*")]
+    got = {r.row_no: (r.label, r.bases, r.reason) for r in inventory.ingest(spark.createDataFrame(rows, "row_no int, name string, sequence string"), F.lit("dna")).collect()}
+    assert got == {1: ("sequence1", "ACGT", None), 2: ("sequence2", "GG", None), 3: ("sequence3", "TT", None), 5: ("", "AC*GT", "stop inside"), 6: ("", "MKVL", "not dna"), 7: ("x", "", "empty"), 8: ("sequence4", "CC", None)}
+
+
+def test_protein_alignment(spark):
+    top, low, s, g, c, m, identity = aligner.align_protein("MKTAYIAKQRQISFVKSHFSRQ", "MKTAYIAQRQISFVKSHWSRQ")
+    assert (s, g, c, m) == (1, 1, 21, 2) and top.replace("-", "") == "MKTAYIAKQRQISFVKSHFSRQ" and identity == 20 / 21
+    assert aligner.align_protein("", "MK") == (None,) * 7
+    df = spark.createDataFrame([(1, "a", "MKTAYIAKQR", "MKTAYIAKQR"), (1, "b", "MKTAYIAKQR", "MKTAYWIAKQR"), (2, "c", "MK", "")], "g int, name string, reference string, read string")
+    rows = aligner.joint(aligner.align_proteins(df).select("g", "name", "reference_row", "read_row"), ["g"]).collect()
+    assert [(x.name, x.row) for x in rows[0].rows] == [("", "MKTAY-IAKQR"), ("a", "MKTAY-IAKQR"), ("b", "MKTAYWIAKQR")] and len(rows) == 1
