@@ -462,6 +462,64 @@ def test_quality_learns_held_out(spark):
     learned(spark, quality_knn, "quality", sentence, lambda rng: " | ".join(w.upper() + "!!" for w in sentence(rng).split()), 5, 0)
 
 
+def test_quality_votes_equal_brute_force(spark, hostile):
+    """Document frequencies, projections, exact cosines and weighted votes from their definitions, also for odd and repeated rows."""
+    q = quality_knn
+    rng = random.Random(8)
+    rows = [(100 + i, sentence(rng) if i % 3 else sentence(rng).upper() + " | 12 | x") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(hostile.select("doc_id", "text")).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows] + [(7, 1), (12, 0), (12, 1), (5, 1)], "doc_id long, quality int")
+    usable = ~q.common.held_out(F.col("doc_id"), 5, 0)
+    model = q.fit(docs, labels, usable)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    counts = {t: q.Terms().counts([t])[0].astype(float) for _, t in texts}
+    held, many = q.frequencies(docs)
+    assert held.tolist() == [sum(counts[t][k] > 0 for _, t in texts) for k in range(q.TERMS)] and many == sum(bool((t or "").split()) for _, t in texts)
+    idf = [(math.log((many + 1) / (n + 1)) + 1) * (1 if k < q.WORDS else q.SHAPE_WEIGHT) for k, n in enumerate(held.tolist())]
+    assert model.idf.tolist() == pytest.approx(idf, rel=1e-5)
+    for r in q.scored(docs, labels).collect():
+        for c in {tuple(counts[t]) for i, t in texts if i == r.doc_id} if [i for i, _ in texts].count(r.doc_id) == 1 else ():
+            total = max(1, sum(c[: q.WORDS]))
+            x = np.array([math.sqrt(n / total) * w for n, w in zip(c, idf, strict=True)]) @ model.axes.astype(float)
+            x /= max(1e-9, float(np.linalg.norm(x)))
+            near = sorted(((float(x @ v), float(y)) for v, y in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)[: q.NEIGHBOURS]
+            weights = [max(k, 1e-6) ** q.POWER for k, _ in near]
+            want = sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights) if sum(c) else float(model.labels.mean())
+            assert r.score == pytest.approx(want, abs=0.02) and r.predicted == int(r.score >= q.THRESHOLD)
+    repeated = [r.score for r in q.scored(docs, labels).collect() if r.doc_id == 12]
+    assert len(repeated) == 2 and len(set(repeated)) == 1
+
+
+def test_html_sums_equal_brute_force():
+    """Sums over subtrees, and what a menu is, from the blocks of each element by itself."""
+    rng = random.Random(14)
+
+    def tree(depth):
+        tag = rng.choice(["div", "ul", "li", "p", "b", "section", "a href=1", "table", "h2"])
+        inner = "".join(rng.choice([lambda: "some words ", lambda: tree(depth - 1) if depth else "x,", lambda: "<a href=2>go</a>"])() for _ in range(rng.randint(0, 4)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    for _ in range(150):
+        root = html_text.parse("".join(tree(4) for _ in range(3)))
+        stats = html_text.Stats(html_text.blocks(root), root)
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            todo += [c for c in n.children if not isinstance(c, str)]
+            if n.tag not in html_text.BLOCK:
+                continue
+            own = html_text.blocks(n)
+            odd = sum(x < 0.8 * len(t) or len(t.split()) > html_text.LABEL_WORDS for _, t, x in own)
+            assert stats.blocks.get(id(n), [0, 0])[:2] == [len(own), odd] or any(c.tag == "a" for c in ancestors(n))
+            assert stats.texts.get(id(n), [0, 0])[0] == sum(len(t) for _, t, _ in own)
+
+
+def ancestors(node):
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
 def test_licences_match_brute_force(hostile, spark, nothing):
     filler = [f"w{i}" for i in range(400)]
     rng = random.Random(2)
