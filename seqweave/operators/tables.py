@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+#: A side of at most this many rows and bytes is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Places of a text that a chunk owns at least.
 CHUNK = 512
 
@@ -19,8 +19,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if its rows and bytes are counted to be few; otherwise as it is, for a shuffled join."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 def places(n: Column, k: int) -> Column:

@@ -421,7 +421,8 @@ def test_files_tracks_and_stream(spark, tmp_path):
     (folder / "sub" / "b.gbk").write_text(one_file + one_file)
     (folder / "sub" / ".hidden" / "c.gb").write_text(one_file)
     files = M.read_files(spark, str(folder))
-    assert files.count() == 2
+    assert files.count() == 2 and M.left_out(spark, str(folder)) == 0
+    assert M.read_files(spark, str(folder), most=1).count() == 1 == M.left_out(spark, str(folder), most=1)
     assert sorted(r.name for r in M.tracks(files).collect()) == ["a", "b · a", "b · a"]
     bad = spark.createDataFrame([("x.ab1", bytearray(b"junk"))], "path string, content binary")
     assert M.tracks(bad).first().molecule is None
