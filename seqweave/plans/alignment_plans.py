@@ -203,6 +203,21 @@ SELECT doc_id, coalesce(covered, '') AS covered, coalesce(deleted, '') AS delete
 FROM ins LEFT JOIN cov USING (doc_id) LEFT JOIN del USING (doc_id) LEFT JOIN seq USING (doc_id) LEFT JOIN idx USING (doc_id)"""
 
 
+def read_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded reads put back in their own order."""
+    f = A.read_order(A.fold_reads(_doubled(spark, sf_dir)))
+    return f.select("doc_id", F.col("read_sequence").alias("sequence"), "lost", A.encode_runs("new_index").alias("read_index"))
+
+
+ORDER_SQL = f"""WITH {DOUBLED_SQL},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS k FROM placed),
+steps AS (SELECT doc_id, p, k, CASE WHEN k = lag(k) OVER (PARTITION BY doc_id ORDER BY p) + 1 THEN 0 ELSE 1 END AS new FROM numbered),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM steps),
+idx AS (SELECT doc_id, string_agg(s || ':' || n, ',' ORDER BY run) AS read_index FROM (SELECT doc_id, run, arg_min(k, p) AS s, count(*) AS n FROM grouped GROUP BY ALL) GROUP BY doc_id),
+seq AS (SELECT doc_id, string_agg(q, '' ORDER BY o) AS sequence, max(o) + 1 - count(*) AS lost FROM placed GROUP BY doc_id)
+SELECT doc_id, coalesce(sequence, '') AS sequence, coalesce(lost, 0)::BIGINT AS lost, coalesce(read_index, '') AS read_index FROM ins LEFT JOIN seq USING (doc_id) LEFT JOIN idx USING (doc_id)"""
+
+
 def mutated_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.split_pairs(_pairs(spark, sf_dir))
     n = F.length(A.degap("reference_row")).cast("long")
@@ -289,6 +304,7 @@ QUERIES = {
     "rotate_reads": (rotate_reads, ROTATE_SQL),
     "fold_reads": (fold_reads, FOLD_SQL),
     "mutated_codons": (mutated_codons, MUTATED_SQL),
+    "read_order": (read_order, ORDER_SQL),
     "encode_runs": (encode_runs, RUNS_SQL),
     "decode_ranges": (decode_ranges, DECODE_SQL),
     "codec_fields": (codec_fields, FIELDS_SQL),

@@ -83,6 +83,22 @@ SELECT vec_id, string_agg(translate(call, 'ATGCN', 'TACGN'), '' ORDER BY p) AS c
   array_to_string(list_reverse(arg_min(t, p)), ',') AS a, array_to_string(list_reverse(arg_min(c, p)), ',') AS g FROM rolled WHERE p % 2 = 0 GROUP BY vec_id"""
 
 
+def follow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces as their rows have them: every other one flipped, turned by its number, every third folded to its even places."""
+    t, v = _traces(spark, sf_dir), F.col("vec_id")
+    index = F.when(v % 3 == 0, let(F.size("quality"), lambda n: F.sequence(F.lit(0), n - 1, F.lit(2))))
+    rows = T.follow_alignment(t.withColumns({"strand": F.when(v % 2 == 0, -1).otherwise(1), "rotation": (v % 5).cast("int"), "read_index": index}))
+    first = F.element_at("base_traces", 1)
+    return rows.select("vec_id", F.array_join("base_calls", "").alias("calls"), F.array_join("quality", ",").alias("quality"), F.array_join(first["t"], ",").alias("t"))
+
+
+FOLLOW_SQL = f"""
+WITH {TRACES_SQL}, flipped AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN n - 1 - i ELSE i END AS r FROM traces), rolled AS (SELECT *, (r - vec_id % 5 + 5 * n) % n AS p FROM flipped)
+SELECT vec_id, string_agg(CASE WHEN vec_id % 2 = 0 THEN translate(call, 'ATGCN', 'TACGN') ELSE call END, '' ORDER BY p) AS calls, string_agg(q, ',' ORDER BY p) AS quality,
+  CASE WHEN vec_id % 2 = 0 THEN array_to_string(list_reverse(arg_min(a, p)), ',') ELSE array_to_string(arg_min(t, p), ',') END AS t
+FROM rolled WHERE vec_id % 3 <> 0 OR p % 2 = 0 GROUP BY vec_id"""
+
+
 def smooth_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _traces(spark, sf_dir).select("vec_id", F.posexplode(T.smooth(F.col("base_traces"))).alias("i", "b"))
     return t.select("vec_id", F.col("i").cast("long").alias("i"), *[F.array_join(F.col("b")[c], ",").alias(c) for c in T.CHANNELS])
@@ -153,6 +169,7 @@ SELECT doc_id, name, min(col) AS start, max(col) AS "end", d::INT AS strand FROM
 
 QUERIES = {
     "quality_trim": (quality_trim, TRIM_SQL),
+    "follow_alignment": (follow_alignment, FOLLOW_SQL),
     "trace_transform": (trace_transform, TRANSFORM_SQL),
     "smooth_trace": (smooth_trace, SMOOTH_SQL),
     "trace_windows": (trace_windows, WINDOWS_SQL),

@@ -501,3 +501,16 @@ def test_protein_alignment(spark):
     df = spark.createDataFrame([(1, "a", "MKTAYIAKQR", "MKTAYIAKQR"), (1, "b", "MKTAYIAKQR", "MKTAYWIAKQR"), (2, "c", "MK", "")], "g int, name string, reference string, read string")
     rows = aligner.joint(aligner.align_proteins(df).select("g", "name", "reference_row", "read_row"), ["g"]).collect()
     assert [(x.name, x.row) for x in rows[0].rows] == [("", "MKTAY-IAKQR"), ("a", "MKTAY-IAKQR"), ("b", "MKTAYWIAKQR")] and len(rows) == 1
+
+
+def test_rebuild_takes_what_fits_the_row(spark):
+    read = "AACCGGTTAC"
+    turned = alignment.column_order(read, -1, 3, None)
+    back = read.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    assert turned == back[3:] + back[:3] and alignment.column_order(read, 1, 0, [2, 3, 20]) == "CC-" and alignment.column_order("MK", -1, 0, None, "protein") == "MK"
+    row = turned[:4] + "--" + turned[4:]
+    rows = [(row, -1, 3, None, read.lower(), None), (row, -1, 3, None, "ACGT", read), (row, -1, 3, None, None, "TT"), ("GG-TA", 1, 0, [6, 7, 1, 2], None, None)]
+    df = spark.createDataFrame([(i, *r, "dna") for i, r in enumerate(rows)], "i int, row string, strand int, rotation int, read_index array<int>, source string, saved string, molecule string")
+    got = {r.i: (r.bases, r.origin, r.lost) for r in alignment.rebuild(df).collect()}
+    assert got == {0: (read, "source", 0), 1: (read, "saved", 0), 2: (turned, "row", 0), 3: ("TAGG", "row", 4)}
+    assert alignment.read_order_one("GGTA", [6, 7, 1, 2]) == ("TAGG", 4, [2, 3, 0, 1])
