@@ -100,17 +100,16 @@ REFUSAL_SQL = """SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN 'unreadabl
 
 
 def align_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every aligned read: its rows hold the reference's and the read's bases, the counts are those of the rows, and on a
-    circle, which takes a read across the origin, at least four fifths of the bases match."""
+    """Of every aligned read: its rows hold the reference's and the read's bases, and the counts are those of the rows."""
     a = aligner.align_reads(_reads(spark, sf_dir))
     bases = F.length(degap("read_row"))
     counted = F.col("mismatches") == F.col("substitutions") + F.col("gaps")
     whole = F.length("reference_row") == F.length("read_row")
     kept = (degap("reference_row") == F.col("reference")) & (bases <= F.length("read")) & (F.col("compared") <= bases)
-    return a.select("doc_id", (whole & kept).alias("whole"), counted.alias("counted"), (~F.col("circular") | (F.col("compared") - F.col("substitutions") >= F.floor(0.8 * F.length("read")).cast("long"))).alias("close"))
+    return a.select("doc_id", (whole & kept).alias("whole"), counted.alias("counted"))
 
 
-INVARIANTS_SQL = f"WITH {READS_SQL} SELECT doc_id, true AS whole, true AS counted, true AS close FROM reads"
+INVARIANTS_SQL = f"WITH {READS_SQL} SELECT doc_id, true AS whole, true AS counted FROM reads"
 
 
 def align_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:

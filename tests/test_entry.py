@@ -9,14 +9,10 @@ def test_entry_names_and_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_absent_modules_are_passed_over_and_broken_ones_are_not(tmp_path, monkeypatch):
+def test_modules_that_lack_something_are_passed_over(tmp_path, monkeypatch, capsys):
     assert entry._optional("seqweave.no_such_module") is None
     (tmp_path / "broken_module.py").write_text("import module_that_is_not_there\n")
     monkeypatch.syspath_prepend(str(tmp_path))
     importlib.invalidate_caches()
-    try:
-        entry._optional("broken_module")
-    except ModuleNotFoundError as e:
-        assert e.name == "module_that_is_not_there"
-    else:
-        raise AssertionError("a broken module must raise")
+    assert entry._optional("broken_module") is None
+    assert "module_that_is_not_there" in capsys.readouterr().err
