@@ -115,12 +115,15 @@ def _mapped(targets: DataFrame, text: str, probes: DataFrame, probe: str, around
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 # Texts lie one behind the other with a letter between them that no probe has.
                 ends = np.cumsum([len(t) + 1 for t in texts])
+                foreign = not all(map(str.isascii, texts))
                 joined = np.frombuffer("\0".join(texts).encode("latin-1", "replace"), np.uint8)
                 for place, which in index.of(joined):
                     row = np.searchsorted(ends, place, "right")
                     at = place - np.append(0, ends[:-1])[row]
-                    strange = [k for k, (r, i, w) in enumerate(zip(row.tolist(), at.tolist(), which.tolist(), strict=True)) if not texts[r].isascii() and not texts[r].startswith(words[w], i)] if any(not t.isascii() for t in texts) else []
-                    row, at, which = (np.delete(x, strange) for x in (row, at, which))
+                    if foreign:
+                        # Letters beyond Latin-1 have all been read as one.
+                        same = np.array([texts[r].startswith(words[w], i) for r, i, w in zip(row.tolist(), at.tolist(), which.tolist(), strict=True)], bool)
+                        row, at, which = row[same], at[same], which[same]
                     if not len(row):
                         continue
                     cols = [*part.drop_columns([text]).take(pa.array(row)).columns, *table.take(pa.array(which)).columns, pa.array(at.astype(np.int32))]

@@ -514,3 +514,31 @@ def test_rebuild_takes_what_fits_the_row(spark):
     got = {r.i: (r.bases, r.origin, r.lost) for r in alignment.rebuild(df).collect()}
     assert got == {0: (read, "source", 0), 1: (read, "saved", 0), 2: (turned, "row", 0), 3: ("TAGG", "row", 4)}
     assert alignment.read_order_one("GGTA", [6, 7, 1, 2]) == ("TAGG", 4, [2, 3, 0, 1])
+
+
+def test_occurrences_equal_brute_force(spark):
+    """Overlaps, periodic texts, probes of one letter, letters beyond Latin-1, nulls; with the text around."""
+    rng = random.Random(6)
+    texts = [bases(rng, 60), "AT" * 40, "", None, "A", "é漢字ATGéATG漢", "ACGT" * 20 + "N"]
+    probes = ["A", "AT" * 9, "TATATATATATAT", "ATG", "字ATG", "漢", "GTACGTACGTACG", "ACGTN", ""]
+    t = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    p = spark.createDataFrame(list(enumerate(probes)), "q int, probe string")
+    want = sorted((i, q, at) for i, x in enumerate(texts) for q, w in enumerate(probes) if w for at in range(len(x or "")) if x.startswith(w, at))
+    rows = search.occurrences(t, "text", p, around=5).collect()
+    assert sorted((r.i, r.q, r["at"]) for r in rows) == want
+    assert all(texts[r.i][r["at"] - r._i :].startswith(r.chunk) and r.chunk.startswith(r.probe, r._i) and r._i == min(5, r["at"]) for r in rows)
+    joined = search.PROBE_LETTERS
+    try:
+        search.PROBE_LETTERS = 1  # beyond it, probes are joined
+        assert sorted((r.i, r.q, r["at"]) for r in search.occurrences(t, "text", p).collect()) == want
+    finally:
+        search.PROBE_LETTERS = joined
+
+
+def test_search_of_a_periodic_text_ends_soon(spark):
+    import time
+
+    began = time.time()
+    c = spark.createDataFrame([("f", "n", "AT" * 5000)], "file string, name string, sequence string")
+    q = spark.createDataFrame([(i, "AT" * (10 + i % 7)) for i in range(200)], "query_id int, sequence string")
+    assert search.exact_search(c, q).where("start < 3").count() > 0 and time.time() - began < 60
