@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, license_scan, mixing, quality_knn, quality_rules, simhash, toxicity, warc
+from . import bpe, clustering, exact_dedup, html_text, lexical, license_scan, lsh_forest, mixing, quality_knn, quality_rules, simhash, toxicity, warc
 from .common import read
 
 
@@ -55,6 +55,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -147,6 +159,78 @@ FROM shares WHERE containment >= {license_scan.MIN_CONTAINMENT} GROUP BY doc_id,
 """
 
 
+def _op11_sql() -> str:
+    """Every distance to every centroid, a round after the other."""
+    steps = [r"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN floor(64 * x::DOUBLE)::BIGINT END) AS p FROM embeddings WHERE len(embedding) = 64),
+points AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, p, sha256('1:' || vec_id::VARCHAR) AS h FROM whole WHERE list_count(p) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, p) - 1 AS c, p FROM points ORDER BY h NULLS LAST, p LIMIT 16)"""]
+    for k in range(clustering.ROUNDS + 1):
+        steps.append(rf"""a{k} AS MATERIALIZED (
+  SELECT r, arg_min(c, d * 16 + c) AS c, min(d) AS d FROM (
+    SELECT r, c, list_sum(list_transform(list_zip(v.p, c{k}.p), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM points v, c{k})
+  GROUP BY r)""")
+        if k < clustering.ROUNDS:
+            steps.append(rf"""s{k} AS (
+  SELECT c, i, CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS x FROM (
+    SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+      SELECT c, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM a{k} JOIN points USING (r)) GROUP BY c, i)),
+c{k + 1} AS MATERIALIZED (
+  SELECT c{k}.c, coalesce(m.p, c{k}.p) AS p FROM c{k} LEFT JOIN (SELECT c, list(x ORDER BY i) AS p FROM s{k} GROUP BY c) m USING (c))""")
+    k = clustering.ROUNDS
+    return ",\n".join(steps) + rf"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c{k}.p, ',')) AS centroid_sha256
+FROM a{k} JOIN points USING (r) JOIN c{k} USING (c)
+"""
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+size AS (SELECT count(*) AS documents, sum(len(terms))::BIGINT AS length FROM words WHERE len(terms) > 0),
+postings AS (
+  SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, unnest(terms) AS term, len(terms) AS n FROM words) GROUP BY r, doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, size GROUP BY term, documents),
+items AS (
+  SELECT DISTINCT i, item_id, term FROM (
+    SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark))),
+scores AS (
+  SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // length))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), size GROUP BY i, item_id, r, doc_id),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+# Pairs meet on a shared shingle; a set is named by its text of sorted shingles, so that equal sets are one.
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT r, hash(array_to_string(w[k:k + 3], ' ')) AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS k FROM words WHERE len(w) > 0)),
+sets AS MATERIALIZED (SELECT r, count(*) AS n, sha256(string_agg(s::VARCHAR, ',' ORDER BY s)) AS name FROM shingles GROUP BY r),
+one AS MATERIALIZED (SELECT name, min(r) AS r, any_value(n) AS n FROM sets GROUP BY name),
+own AS (SELECT name, s, n FROM shingles JOIN one USING (r)),
+shared AS (SELECT a.name AS a, b.name AS b, a.n AS n, b.n AS m, count(*) AS k FROM own a JOIN own b USING (s) WHERE a.name < b.name GROUP BY ALL),
+linked AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (n + m - k)),
+both_ways AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT name AS a, name AS b FROM one UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+least AS (SELECT reach.a AS name, min(doc_id) AS component_id FROM reach JOIN sets ON sets.name = reach.b JOIN words ON words.r = sets.r GROUP BY reach.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id,
+       CASE WHEN n IS NULL THEN true ELSE doc_id IS NOT DISTINCT FROM component_id END AS kept
+FROM words LEFT JOIN sets USING (r) LEFT JOIN least USING (name)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -159,8 +243,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_html_text": op10_html_text,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_lsh_forest": op13_lsh_forest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_license_scan": _op5_sql()}
+    return {
+        "op1_mixing": OP1_SQL,
+        "op2_warc": OP2_SQL,
+        "op4_exact_dedup": OP4_SQL,
+        "op5_license_scan": _op5_sql(),
+        "op11_centroid_clustering": _op11_sql(),
+        "op12_lexical_search": OP12_SQL,
+        "op13_lsh_forest": OP13_SQL,
+    }
