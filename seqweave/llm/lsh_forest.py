@@ -10,10 +10,10 @@ a dense one the nearest take the places and the depth at which sets still meet g
 by ranges, which split regions of any size.  A pair of similarity 0.8 shares the floor in none of 16 trees with probability
 8e-8; ranges cut few neighbours apart, in other places in each tree.
 
-Links.  Candidates pass on exact sizes and on a sketch of 64 one-byte min-hashes (a pair at the threshold fails with
-probability 1e-6), then are confirmed on the full sets.  First each set's nearest neighbours are confirmed and linked; then
-wide neighbourhoods are searched for pairs between different components only, so that a group of near copies is linked by
-about as many confirmations as it has members, not by all its pairs; every such pair is confirmed.
+Links.  Candidates pass on exact sizes and on a sketch, a byte of each min-hash of the forest (a pair at the threshold fails
+with probability 1e-6), then are confirmed on the full sets.  First each set's next neighbours in FIRST of the orders are confirmed and linked;
+then wider neighbourhoods in all orders are searched, twice, for pairs between different components only, so that a group of near
+copies is linked by a few confirmations a member, not by all its pairs; every such pair is confirmed.
 
 Defined results: null and empty texts have no set, link with nothing and keep their own id; a null doc_id counts as the
 largest id; repeated rows have equal sets; an empty table gives no rows.
@@ -36,10 +36,11 @@ from .simhash import components
 SHINGLE = 4
 SIMILAR = 80  # of a hundred
 TREES, DEPTH, FLOOR = 16, 8, 2
-#: Neighbours that are compared in an order: next to a set, then between components.
-NEXT, WIDE = 1, 32
-#: One-byte min-hashes of the sketch, and how many must agree: 4.75 standard deviations below the threshold.
-SKETCH, AGREE = 64, 36
+#: Neighbours that are compared in an order: next to a set, in the first orders, then between components, in all.
+NEXT, FIRST, WIDE = 1, 4, (2, 32)
+#: How many of the sketch's bytes must agree: 4.75 standard deviations below the threshold.
+SKETCH = TREES * DEPTH
+AGREE = 81
 SEED = 42
 #: Shingles whose min-hashes are taken at once.
 BLOCK = 1 << 13
@@ -103,8 +104,8 @@ def sets(docs: DataFrame) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, `set` binary, n long, mins binary")
 
 
-def orders(reps: DataFrame) -> DataFrame:
-    """A row for each set and tree: tree, lead (the first FLOOR min-hashes), rest, and all that is needed to compare."""
+def orders(reps: DataFrame, trees: int = TREES) -> DataFrame:
+    """A row for each set and each of the first trees: tree, lead (the first FLOOR min-hashes), rest, and all that is needed to compare."""
     extra = [c for c in reps.columns if c not in ("mins",)]
     kinds = ", ".join(f"`{c}` {reps.schema[c].dataType.simpleString()}" for c in extra)
 
@@ -112,9 +113,8 @@ def orders(reps: DataFrame) -> DataFrame:
         for b in common.slices(batches, 1 << 12):
             mins = np.frombuffer(b"".join(b.column("mins").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
             flat = mins.reshape(len(mins), -1)
-            # The sketch takes min-hashes of all trees, other bits than the order compares first.
-            sketch = pa.array([x.tobytes() for x in (flat[:, :: TREES * DEPTH // SKETCH] & np.uint32(255)).astype(np.uint8)], pa.binary())
-            for t in range(TREES):
+            sketch = pa.array([x.tobytes() for x in (flat & np.uint32(255)).astype(np.uint8)], pa.binary())
+            for t in range(trees):
                 big = mins[:, t].astype(">u4")
                 lead = np.ascontiguousarray(big[:, :FLOOR]).view(">i8").astype(np.int64).ravel()
                 rest = pa.array([x.tobytes() for x in big[:, FLOOR:]], pa.binary())
@@ -212,17 +212,18 @@ def _roots(reps: DataFrame, edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """set, root: the least set that each can reach over links."""
-    near = common.written(neighbours(orders(reps.select("set", "n", "mins")), NEXT), "neighbours")
+    near = common.written(neighbours(orders(reps.select("set", "n", "mins"), FIRST), NEXT), "neighbours")
     edges = _linked(docs, reps, near)
-    roots = common.written(_roots(reps, edges), "roots")
-    rooted = reps.select("set", "n", "mins").join(roots, "set")
-    # Pairs that were refuted are asked again only as pairs of different components; they are left out here.
-    wide = neighbours(orders(rooted), WIDE).join(near.select("a", "b"), ["a", "b"], "left_anti")
-    wide = common.written(wide, "wide-neighbours")
-    more = _linked(docs, reps, wide)
-    if more.limit(1).count() == 0:
-        return roots
-    return _roots(reps, edges.unionByName(more))
+    asked = near.select("a", "b")
+    for width in WIDE:
+        roots = common.written(_roots(reps, edges), "roots")
+        rooted = reps.select("set", "n", "mins").join(roots, "set")
+        # Those already refuted are left out.
+        near = common.written(neighbours(orders(rooted), width).join(asked, ["a", "b"], "left_anti"), "neighbours")
+        asked = asked.unionByName(near.select("a", "b"))
+        more = _linked(docs, reps, near)
+        edges = edges.unionByName(more)
+    return roots if more.limit(1).count() == 0 else _roots(reps, edges)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
