@@ -188,6 +188,8 @@ def nearest(points: np.ndarray, tree: dict[str, np.ndarray], centroids: np.ndarr
         gap = exact - np.where(has, least[which], 0)
         room = 2 * tree["radius"][q] * apart[lead, over["centre"][r]]
         beaten = alone & has & (gap > room * (1 + SLACK) + SLACK)
+        # Of equal centroids the smaller number has all.
+        beaten |= alone & has & (over["centre"][r] > lead) & (apart[lead, over["centre"][r]] == 0)
         leaf = tree["first"][q] == tree["last"][q]
         # A single vector against single centroids: exact, ties to the smaller number.
         beaten |= leaf & alone & has & ((gap > 0) | (over["centre"][r] > lead))
