@@ -1,14 +1,12 @@
-"""Queries of tables of hits, ingested rows, sessions, folders and alignments' invariants."""
+"""Queries of tables of hits, ingested rows, sessions and refusals."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aligner, hits, inventory
-from ..operators.alignment import degap
+from ..operators import hits, inventory
 from ..sources import formats as M
-from .alignment_plans import READS_SQL, _reads
 from .inventory_plans import EVENTS_SQL, _events
 from .primer_plans import PRIMERS_SQL, _primers, primer_search
 from .workloads import CORPUS_SQL, corpus, queries, table
@@ -99,29 +97,6 @@ REFUSAL_SQL = """SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN 'unreadabl
   WHEN text <> '' AND length(regexp_replace(upper(text), '[^ACGTURYSWKMBDHVN]', '', 'g')) / length(text) <= 0.9 THEN 'protein against dna' END AS refusal FROM conversations"""
 
 
-def align_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every aligned read: its rows hold the reference's and the read's bases, and the counts are those of the rows."""
-    a = aligner.align_reads(_reads(spark, sf_dir))
-    bases = F.length(degap("read_row"))
-    counted = F.col("mismatches") == F.col("substitutions") + F.col("gaps")
-    whole = F.length("reference_row") == F.length("read_row")
-    kept = (degap("reference_row") == F.col("reference")) & (bases <= F.length("read")) & (F.col("compared") <= bases)
-    return a.select("doc_id", (whole & kept).alias("whole"), counted.alias("counted"))
-
-
-INVARIANTS_SQL = f"WITH {READS_SQL} SELECT doc_id, true AS whole, true AS counted FROM reads"
-
-
-def align_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first frame with every 31st residue changed, aligned to the frame."""
-    from ..functions.sequences import translate_frame
-
-    c = corpus(spark, sf_dir).select("doc_id", translate_frame("sequence", 0).alias("reference"))
-    read = F.array_join(F.transform(F.split("reference", ""), lambda x, i: F.when((i % 31 == 30) & (x != "W"), "W").otherwise(x)), "")
-    a = aligner.align_proteins(c.withColumn("read", read))
-    return a.select("doc_id", "substitutions", "gaps", "compared", F.round("identity", 6).alias("identity"))
-
-
 QUERIES = {
     "hit_display": (hit_display, DISPLAY_SQL),
     "hit_columns": (hit_columns, COLUMNS_SQL),
@@ -129,6 +104,4 @@ QUERIES = {
     "ingest_rows": (ingest_rows, INGEST_SQL),
     "sessions_newest_first": (sessions_newest_first, SESSIONS_SQL),
     "read_refusal": (read_refusal, REFUSAL_SQL),
-    "align_invariants": (align_invariants, INVARIANTS_SQL),
-    "align_proteins": (align_proteins, None),
 }

@@ -468,7 +468,7 @@ def test_numpy_is_exact_for_kmers():
 
 def test_align_options_round_trip():
     o = align_options.parse("--localpair --maxiterate 1000 --op 2.5 --ep=0.1")
-    assert (o.strategy, o.gap_open, o.gap_extend) == ("linsi", 2.5, 0.1) and align_options.parse(align_options.compose(o)) == o
+    assert (o.strategy, o.gap_open, o.gap_extend) == ("accurate", 2.5, 0.1) and align_options.parse(align_options.compose(o)) == o
     assert align_options.parse("") == align_options.parse(None) == align_options.Options()
     custom = align_options.parse("--retree 3 --op x")
     assert (custom.strategy, custom.custom, custom.gap_open) == ("custom", "--retree 3 --op x", None)
