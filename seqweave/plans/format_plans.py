@@ -38,6 +38,47 @@ GENBANK_SQL = f"""WITH {CORPUS_SQL} SELECT file, file AS record, circular, lengt
 UNION ALL SELECT file, 'other', false, 8, '' FROM corpus"""
 
 
+def genbank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested, remote, open and between-base locations, a primer and a location over two lines, in a flat file of each document."""
+    c, d = corpus(spark, sf_dir), F.col("doc_id").cast("string")
+    plus = lambda k: (F.col("doc_id") + k).cast("string")
+    entry = lambda kind, *where: F.concat(F.lit(f"     {kind:<16}"), *(F.lit(x) if isinstance(x, str) else x for x in where), F.lit("\n"))
+    table_ = [
+        entry("CDS", "join(complement(50..60),complement(10..20))"), entry("gene", "order(1..5,complement(8..9))"), entry("mRNA", "join(J00194.1:100..202,1..", plus(3), ")"),
+        entry("site", "123^124"), entry("exon", "complement(join(<3..8,\n                     10..>13,", d, "))"), entry("primer_bind", "complement(4..", plus(9), ")"), entry("variation", plus(1)),
+        entry("unsure", "join(1..5"),
+    ]
+    text = F.concat(F.lit("LOCUS       "), "file", F.lit(" 8 bp DNA linear\nFEATURES             Location/Qualifiers\n"), *table_, F.lit("ORIGIN\n        1 acgtacgt\n//\n"))
+    return M.genbank_features(c.select("file", text.alias("text")))
+
+
+FEATURES_SQL = f"""WITH {CORPUS_SQL}
+SELECT file, file AS record, p AS primer, f AS feature, k AS type, k AS name, i AS part, (CASE WHEN a < 0 THEN doc_id - a - 100 ELSE a END)::BIGINT AS start,
+  (CASE WHEN b < 0 THEN doc_id - b - 100 ELSE b END)::BIGINT AS "end", s::INTEGER AS strand, r AS remote, w AS between
+FROM corpus, (VALUES (false, 0::BIGINT, 'CDS', 0::BIGINT, 49, 59, -1, NULL, false), (false, 0, 'CDS', 1, 9, 19, -1, NULL, false), (false, 1, 'gene', 0, 0, 4, 1, NULL, false),
+  (false, 1, 'gene', 1, 7, 8, -1, NULL, false), (false, 2, 'mRNA', 0, 99, 201, 1, 'J00194.1', false), (false, 2, 'mRNA', 1, 0, -102, 1, NULL, false),
+  (false, 3, 'site', 0, 122, 123, 1, NULL, true), (false, 4, 'exon', 0, -99, -99, -1, NULL, false), (false, 4, 'exon', 1, 9, 12, -1, NULL, false),
+  (false, 4, 'exon', 2, 2, 7, -1, NULL, false), (true, 0, 'primer_bind', 0, 3, -108, -1, NULL, false), (false, 5, 'variation', 0, -100, -100, 1, NULL, false)) t(p, f, k, i, a, b, s, r, w)"""
+
+
+def track_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' letters, or only their bases, in files of all text formats, read with and without codes of several bases as bases."""
+    d = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("fa", "fasta", "faa", "dna"))), (d % 4 + 1).cast("int"))
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    body = F.when(d % 3 == 0, F.regexp_replace(letters, "[^ACGTNRYacgtnry]", "")).otherwise(letters)
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), d.cast("string"), F.lit("."), kind).alias("path"), M.to_fasta(F.lit("x"), body).cast("binary").alias("content"))
+    read = [M.tracks(files, loose=x).select("file", F.lit(x).alias("loose"), "molecule", F.length("sequence").cast("long").alias("letters")) for x in (True, False)]
+    return read[0].unionByName(read[1])
+
+
+MOLECULES_SQL = """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS x FROM documents),
+s AS (SELECT 'in/' || doc_id || '.' || ['fa', 'fasta', 'faa', 'dna'][doc_id % 4 + 1] AS file, doc_id % 4 = 3 AS fixed,
+  upper(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(x, '[^ACGTNRYacgtnry]', '', 'g') ELSE x END) AS s FROM d)
+SELECT file, loose, CASE WHEN fixed OR length(regexp_replace(s, CASE WHEN loose THEN '[^ACGTURYSWKMBDHVN]' ELSE '[^ACGTUN]' END, '', 'g')) / length(s) > 0.9 THEN 'dna' ELSE 'protein' END AS molecule,
+  length(s)::BIGINT AS letters FROM s, (VALUES (true), (false)) l(loose) WHERE s <> ''"""
+
+
 def parse_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A FASTA text a source, of its documents in two lines each."""
     c = corpus(spark, sf_dir)
@@ -177,6 +218,8 @@ SELECT query_id, CASE WHEN one THEN '' ELSE 'p' || query_id END AS name, CASE WH
 QUERIES = {
     "scan_origin_bases": (scan_origin_bases, ORIGIN_SQL),
     "genbank_parse": (genbank_parse, GENBANK_SQL),
+    "genbank_features": (genbank_features, FEATURES_SQL),
+    "track_molecules": (track_molecules, MOLECULES_SQL),
     "parse_fasta": (parse_fasta, FASTA_SQL),
     "to_fasta": (to_fasta, TO_FASTA_SQL),
     "stockholm_rows": (stockholm_rows, STOCKHOLM_SQL),
