@@ -77,8 +77,8 @@ def feature_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANGES_SQL = f"""{CORPUS_SQL}, ranges AS (SELECT doc_id, name, (doc_id * 37) % 5000 AS a,
   CASE WHEN sequence <> '' THEN ((doc_id * 37) % 5000 + least(length(sequence), 4000) - 1) % 5000 END AS b FROM corpus)"""
 OVERLAP_SQL = f"""WITH {RANGES_SQL}
-SELECT l.name, l.doc_id AS l_doc_id, r.doc_id AS r_doc_id FROM ranges l JOIN ranges r ON l.name = r.name AND l.doc_id // 7 % 2 = 0 AND r.doc_id // 7 % 2 = 1
-WHERE (CASE WHEN r.a <= r.b THEN l.a BETWEEN r.a AND r.b ELSE l.a >= r.a OR l.a <= r.b END) OR (CASE WHEN l.a <= l.b THEN r.a BETWEEN l.a AND l.b ELSE r.a >= l.a OR r.a <= l.b END)"""
+SELECT l.name, l.doc_id AS l_doc_id, r.doc_id AS r_doc_id FROM ranges l JOIN ranges r ON l.name = r.name AND l.doc_id // 7 % 2 = 0 AND r.doc_id // 7 % 2 = 1 AND l.b IS NOT NULL AND r.b IS NOT NULL
+WHERE ((CASE WHEN r.a <= r.b THEN l.a BETWEEN r.a AND r.b ELSE l.a >= r.a OR l.a <= r.b END) OR (CASE WHEN l.a <= l.b THEN r.a BETWEEN l.a AND l.b ELSE r.a >= l.a OR r.a <= l.b END))"""
 
 
 QUERIES = {"find_ambiguous": (find_ambiguous, AMBIGUOUS_SQL), "find_residues": (find_residues, RESIDUES_SQL), "feature_overlap": (feature_overlap, OVERLAP_SQL)}
