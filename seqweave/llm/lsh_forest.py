@@ -44,8 +44,8 @@ AGREE = 81
 SEED = 42
 #: Shingles whose min-hashes are taken at once.
 BLOCK = 1 << 13
-#: Broadcasts ids up to so many; beyond, texts and ids are shuffled.
-BROADCAST_IDS = 4_000_000
+#: Ids, and bytes of full sets, that are broadcast at most; beyond, both sides are shuffled.
+BROADCAST_IDS, BROADCAST_BYTES = 4_000_000, 32 << 20
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, TREES * DEPTH), dtype=np.uint64)
 _TIMES, _PLUS = (_ODD[0] << np.uint64(1)) | np.uint64(1), _ODD[1]
@@ -185,6 +185,8 @@ def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """a, b of the pairs whose full sets are similar."""
     one, other = (held.select(F.col("set").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+    if (held.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) <= BROADCAST_BYTES:
+        one, other = F.broadcast(one), F.broadcast(other)
     both = pairs.select("a", "b").join(one, "a").join(other, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
