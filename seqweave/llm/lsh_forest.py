@@ -202,7 +202,7 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     return common.written(confirmed(pairs, common.written(full_sets(docs, reps, wanted), "full-sets")), "links")
 
 
