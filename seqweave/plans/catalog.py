@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search_plans", "scalar_plans", "primer_plans", "inventory_plans", "alignment_plans", "trace_plans", "format_plans", "extension_plans", "table_plans", "placement_plans", "ambiguous_plans")
+MODULES = ("search_plans", "scalar_plans", "primer_plans", "inventory_plans", "alignment_plans", "trace_plans", "format_plans", "extension_plans", "table_plans", "placement_plans", "ambiguous_plans", "index_plans")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
