@@ -61,6 +61,21 @@ SELECT query_id, {REV.format("any_value(sequence)")} AS rc, round(length(regexp_
   count(DISTINCT substr(sequence, (i + 1)::INT, 8)) AS kmers FROM k GROUP BY query_id"""
 
 
+def sql_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as lines of FASTA, a document a path, read back by a table function, with the frames that each text has."""
+    register(spark)
+    rows = corpus(spark, sf_dir).select("file", F.coalesce("sequence", F.lit("")).alias("sequence"))
+    lines = F.concat(F.array(F.concat(F.lit("> "), "file")), F.regexp_extract_all("sequence", F.lit(".{1,60}"), F.lit(0)))
+    rows.select(F.col("file").alias("path"), F.posexplode(lines).alias("line_no", "line")).createOrReplaceTempView("seqweave_lines")
+    return spark.sql("""
+        SELECT r.path, r.record, r.name, length(r.sequence) AS n, f.strand, f.frame, f.protein
+        FROM fasta_records(TABLE(seqweave_lines)) r, LATERAL six_frames(r.sequence) f""")
+
+
+TABLE_FUNCTIONS_SQL = f"""WITH {CORPUS_SQL}, {FRAMES_SQL}
+SELECT file AS path, 0 AS record, file AS name, bases AS n, strand, frame, protein FROM frames"""
+
+
 def safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row ids of alignments of a hundred documents, named by language, in order of id."""
     d = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("alignment")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(" ", "lang", F.lit("(x)")).alias("name")))).alias("rows"))
@@ -79,5 +94,6 @@ QUERIES = {
     "orf_scan": (orf_scan, ORF_SQL),
     "cut_sites": (cut_sites, CUT_SQL),
     "sql_functions": (sql_functions, FUNCTIONS_SQL),
+    "sql_table_functions": (sql_table_functions, TABLE_FUNCTIONS_SQL),
     "safe_ids": (safe_ids, SAFE_SQL),
 }
