@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import rev_comp, translate_frame
 from ..shipping import ship
-from .tables import kmers, small
+from .tables import CHUNK, chunked, kmers, small
 
 SEED = 11
 PREFIX = 12
@@ -28,6 +30,8 @@ PROBE_LETTERS = 4_000_000
 CELLS = 2_000_000
 #: Letters of texts that are looked up at once.
 STRETCH = 1 << 18
+#: Hits that a task holds before it passes them on.
+FOUND = 100_000
 
 
 def both_strands(queries: DataFrame, text: str = "sequence") -> DataFrame:
@@ -228,20 +232,37 @@ class Seeds:
         self.which = np.concatenate(which)[order] if which else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
 
-    def of(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(probe, place in it, place in text) of the first seed of every diagonal."""
-        rolled = _rolled(text, self.k)
-        lo, hi = np.searchsorted(self.kmer, rolled, "left"), np.searchsorted(self.kmer, rolled, "right")
-        n = hi - lo
-        t = np.repeat(np.arange(len(rolled)), n)
-        at = np.repeat(lo, n) + (np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n))
-        which, q = self.which[at], self.place[at]
-        step = np.arange(self.k)
-        same = np.concatenate([(self.letters[which[x : x + CELLS, None], q[x : x + CELLS, None] + step] == text[t[x : x + CELLS, None] + step]).all(1) for x in range(0, max(1, len(t)), CELLS)])
-        which, q, t = which[same], q[same], t[same]
-        key = which * (1 << 40) + (t - q + (1 << 30))
-        _, first = np.unique(key, return_index=True)  # t ascends, so the first is the least t
-        return which[first], q[first], t[first]
+    def of(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(probe, place in it, place in text) of the first seed of every diagonal, by stretches with about CELLS seeds at most.
+
+        A diagonal that was met is remembered only as long as the text's further letters can be on it, a probe's length: memory
+        is bounded by the probes, also where one k-mer is everywhere.
+        """
+        longest, seen = self.letters.shape[1], np.zeros(0, np.int64)
+        for start in range(0, len(text) - self.k + 1, STRETCH):
+            rolled = _rolled(text[start : start + STRETCH + self.k - 1], self.k)
+            lo, hi = np.searchsorted(self.kmer, rolled, "left"), np.searchsorted(self.kmer, rolled, "right")
+            met = np.nonzero(hi > lo)[0]
+            lo, n = lo[met], (hi - lo)[met]
+            total = np.cumsum(n)
+            for some in np.split(np.arange(len(met)), np.unique(np.searchsorted(total, np.arange(CELLS, total[-1] if len(met) else 0, CELLS), "right"))):
+                if not len(some):
+                    continue
+                t = np.repeat(met[some] + start, n[some])
+                at = np.arange(len(t)) + np.repeat(lo[some] - np.cumsum(n[some]) + n[some], n[some])
+                which, q = self.which[at], self.place[at]
+                for j in range(self.k):
+                    same = self.letters[which, q + j] == text[t + j]
+                    if not same.all():
+                        which, q, t = which[same], q[same], t[same]
+                key = which * (1 << 40) + (t - q + (1 << 30))
+                key, first = np.unique(key, return_index=True)  # t ascends, so the first is the least t
+                new = ~np.isin(key, seen, assume_unique=True)
+                live = np.concatenate([seen, key[new]])
+                seen = live[(live & ((1 << 40) - 1)) - (1 << 30) > met[some[-1]] + start - longest]
+                first = first[new]
+                if len(first):
+                    yield which[first], q[first], t[first]
 
 
 def _reach(match: np.ndarray, inside: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,69 +294,121 @@ def extend(text: np.ndarray, seeds: Seeds, which: np.ndarray, q: np.ndarray, t:
     return t - left, length, (length + score) // 2, score
 
 
-def _blocks(rows: list, letters: int) -> Iterator[list]:
-    """rows in blocks whose probes, padded to the longest, have at most so many letters (or are one)."""
-    block: list = []
-    longest = 0
-    for r in sorted(rows, key=lambda r: len(r["probe"])):
-        longest = max(longest, len(r["probe"]))
-        if block and (len(block) + 1) * longest > letters:
-            yield block
-            block, longest = [], len(r["probe"])
-        block.append(r)
-    if block:
-        yield block
-
-
 def seeded_search(
     targets: DataFrame, text: str, probes: DataFrame, k: int = SEED, min_identity: float = MIN_IDENTITY,
     min_coverage: float = MIN_COVERAGE, drop: int = DROP,
 ) -> DataFrame:
     """targets' columns but text, probe_no, start, length, identity, score: ungapped matches, one a diagonal.
 
-    probes: probe_no, probe, and optionally k.  They go to the executors in blocks of bounded size; targets are mapped
-    where they lie, without a shuffle.  On a diagonal only the seed that comes first in the target is extended.
+    probes: probe_no, probe, and optionally k.  On a diagonal only the seed that comes first in the target is extended.
+    Probes of PROBE_LETTERS letters at most, padded to the longest, go to the executors and targets are mapped where they lie;
+    more of them stay a table, and k-mers of both sides are joined.  The result is the same.
     """
+    probes = probes.select("probe_no", "probe", *(["k"] if "k" in probes.columns else [F.lit(k).alias("k")])).where(F.length("probe") > 0)
+    count, longest = probes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("probe")), F.lit(0))).first()
+    if count * longest <= PROBE_LETTERS:
+        return _seeded_map(targets, text, probes, min_identity, min_coverage, drop)
+    return _seeded_join(targets, text, probes, min_identity, min_coverage, drop)
+
+
+def _good(matches: np.ndarray, length: np.ndarray, probe_length: np.ndarray, min_identity: float, min_coverage: float) -> np.ndarray:
+    return (matches / length >= min_identity) & (length >= probe_length * min_coverage)
+
+
+def _seeded_map(targets: DataFrame, text: str, probes: DataFrame, min_identity: float, min_coverage: float, drop: int) -> DataFrame:
     rest = [c for c in targets.columns if c != text]
-    out = None
-    columns = ["probe_no", "probe"] + (["k"] if "k" in probes.columns else [])
-    for block in _blocks([r.asDict() for r in probes.select(*columns).toLocalIterator()], PROBE_LETTERS):
-        shared = targets.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            by_k: dict[int, list[dict]] = {}
-            for r in shared.value:
-                by_k.setdefault(r.get("k") or k, []).append(r)
-            seeds = [(Seeds([r["probe"] for r in rows], kk), np.array([r["probe_no"] for r in rows])) for kk, rows in by_k.items()]
-            for b in batches:
-                rows, parts = [], []
-                for i, s in enumerate(b.column(text).to_pylist()):
-                    codes = _codes((s or "").upper())
-                    for index, numbers in seeds:
-                        every = index.of(codes)
-                        size = max(1, CELLS // index.letters.shape[1])
+    shared = targets.sparkSession.sparkContext.broadcast([r.asDict() for r in probes.collect()])  # PROBE_LETTERS letters at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_k: dict[int, list[dict]] = {}
+        for r in shared.value:
+            by_k.setdefault(r["k"], []).append(r)
+        seeds = [(Seeds([r["probe"] for r in rows], kk), np.array([r["probe_no"] for r in rows])) for kk, rows in by_k.items()]
+        for b in batches:
+            rows, parts, held = [], [], 0
+
+            def found(b=b) -> pa.RecordBatch:
+                kept = b.drop_columns([text]).take(pa.array(np.concatenate(rows)))  # noqa: B023
+                cols = [np.concatenate(p) for p in zip(*parts, strict=True)]  # noqa: B023
+                kinds = [np.int64, np.int64, np.int64, np.float64, np.int64]
+                arrays = [pa.array(c.astype(t)) for c, t in zip(cols, kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([*kept.columns, *arrays], [*rest, "probe_no", "start", "length", "identity", "score"])
+
+            for i, s in enumerate(b.column(text).to_pylist()):
+                codes = _codes((s or "").upper())
+                for index, numbers in seeds:
+                    size = max(1, CELLS // index.letters.shape[1])
+                    for every in index.of(codes):
                         for at in range(0, len(every[0]), size):
                             which, q, t = (x[at : at + size] for x in every)
                             start, length, matches, score = extend(codes, index, which, q, t, drop)
-                            good = (matches / length >= min_identity) & (length >= index.lengths[which] * min_coverage)
+                            good = _good(matches, length, index.lengths[which], min_identity, min_coverage)
                             if good.any():
                                 parts.append((numbers[which[good]], start[good], length[good], matches[good] / length[good], score[good]))
                                 rows.append(np.full(int(good.sum()), i))
-                if rows:
-                    kept = b.drop_columns([text]).take(pa.array(np.concatenate(rows)))
-                    cols = [np.concatenate(p) for p in zip(*parts, strict=True)]
-                    kinds = [np.int64, np.int64, np.int64, np.float64, np.int64]
-                    arrays = [pa.array(c.astype(t)) for c, t in zip(cols, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], [*rest, "probe_no", "start", "length", "identity", "score"])
-
-        fields = ", ".join(f"`{c}` {targets.schema[c].dataType.simpleString()}" for c in rest)
-        ship(targets.sparkSession)
-        found = targets.mapInArrow(run, f"{fields}, probe_no long, start long, length long, identity double, score long")
-        out = found if out is None else out.union(found)
-    if out is None:
-        none = "probe_no long, start long, length long, identity double, score long"
-        return targets.select(*rest).limit(0).join(targets.sparkSession.createDataFrame([], none), F.lit(False))
-    return out
+                                held += len(rows[-1])
+                                if held >= FOUND:
+                                    yield found()
+                                    rows, parts, held = [], [], 0
+            if rows:
+                yield found()
+
+    fields = ", ".join(f"`{c}` {targets.schema[c].dataType.simpleString()}" for c in rest)
+    ship(targets.sparkSession)
+    return targets.mapInArrow(run, f"{fields}, probe_no long, start long, length long, identity double, score long")
+
+
+def _seeded_join(targets: DataFrame, text: str, probes: DataFrame, min_identity: float, min_coverage: float, drop: int) -> DataFrame:
+    """As _seeded_map by joins: k-mers meet as numbers of rows, and only what shares one fetches its letters, a probe's length of them.
+
+    A target is known by a digest of its row; equal rows are searched once and each gets the hits.  Each of the few lengths of
+    seeds is a scan of its own.
+    """
+    rest = [c for c in targets.columns if c != text]
+    plain = lambda c: F.regexp_replace(F.upper(c), r"[^\x00-\xff]", "?")  # noqa: E731  as _codes reads letters
+    keyed = targets.withColumn("_t", F.sha2(F.to_json(F.struct(*targets.columns)), 256))
+    texts = keyed.select("_t", plain(F.col(text)).alias("_text")).dropDuplicates(["_t"])
+    probes = probes.withColumn("probe", plain(F.col("probe")))
+    longest = probes.agg(F.max(F.length("probe"))).first()[0]
+    places = []
+    for (k,) in sorted(probes.select("k").distinct().collect()):
+        own = kmers(probes.where(F.col("k") == k).select("probe_no", F.col("probe").alias("_p")), "_p", k, at="_q", kmer="_kmer")
+        own = own.groupBy("probe_no", "_kmer").agg(F.min("_q").alias("_q"))
+        theirs = kmers(texts, "_text", k, at="_at", kmer="_kmer").select("_t", "_at", "_kmer")
+        met = theirs.join(own, "_kmer").groupBy("_t", "probe_no", (F.col("_at") - F.col("_q")).alias("_d"))
+        places.append(met.agg(F.min(F.struct("_at", "_q")).alias("_s")).select("_t", "probe_no", "_d", F.col("_s._q").alias("_q"), F.lit(k).alias("_k")))
+    step = max(CHUNK, longest)
+    pieces = chunked(texts, "_text", 0, longest, step).select("_t", (F.col("chunk_at") / step).cast("long").alias("_c"), "chunk")
+    seeds = reduce(DataFrame.union, places).withColumn("_c", F.floor(F.greatest(F.col("_d"), F.lit(0)) / step))
+    first = F.greatest(F.col("_d"), F.lit(0))
+    window = F.substr(F.col("chunk"), (first - F.col("_c") * step + 1).cast("int"), F.length("probe") - (first - F.col("_d")).cast("int"))
+    # Letters that a text doesn't have, before it or behind it, match nothing.
+    full = F.rpad(F.concat(F.repeat(F.lit("\0"), (first - F.col("_d")).cast("int")), window), F.length("probe"), F.lit("\0"))
+    lined = seeds.join(probes.select("probe_no", "probe"), "probe_no").join(pieces, ["_t", "_c"])
+    lined = lined.select("_t", "probe_no", F.col("_d").cast("long").alias("_d"), F.col("_q").cast("long").alias("_q"), "_k", "probe", full.alias("window"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(at, FOUND // 100) for at in range(0, b.num_rows, FOUND // 100)):
+                for k in set(part.column("_k").to_pylist()):
+                    rows = part.filter(pa.compute.equal(part.column("_k"), k))
+                    own = [_codes(p) for p in rows.column("probe").to_pylist()]
+                    lengths = np.array([len(p) for p in own], np.int64)
+                    letters = np.zeros((len(own), int(lengths.max())), np.uint8)
+                    for i, p in enumerate(own):
+                        letters[i, : len(p)] = p
+                    ends = np.cumsum(lengths)
+                    text = _codes("".join(rows.column("window").to_pylist()))
+                    d, q = rows.column("_d").to_numpy(), rows.column("_q").to_numpy()
+                    base = ends - lengths
+                    start, length, matches, score = extend(text, SimpleNamespace(k=k, letters=letters, lengths=lengths), np.arange(len(own)), q, base + q, drop)
+                    good = np.nonzero(_good(matches, length, lengths, min_identity, min_coverage))[0]
+                    cols = [(start - base + d)[good], length[good], (matches / length)[good], score[good]]
+                    yield pa.RecordBatch.from_arrays([*rows.select(["_t", "probe_no"]).take(pa.array(good)).columns, *map(pa.array, cols)], ["_t", "probe_no", "start", "length", "identity", "score"])
+
+    ship(targets.sparkSession)
+    hits = lined.mapInArrow(run, "_t string, probe_no long, start long, length long, identity double, score long")
+    return keyed.select(*rest, "_t").join(hits, "_t").drop("_t")
 
 
 def numbered(probes: DataFrame) -> DataFrame:
