@@ -41,12 +41,12 @@ CUT_ROLES = frozenset("navigation banner complementary contentinfo search dialog
 ROLES_MILD = frozenset("form alert search".split())
 #: Words in class or id that mark what is not the article.
 CUT_WORDS = (
-    dict.fromkeys("promo promotion banner header notice notices social related recommended recommendations widget widgets alert".split(), MILD)
+    dict.fromkeys("promo promotion banner header notice notices notification notifications social related recommended recommendations widget widgets alert".split(), MILD)
     | dict.fromkeys("sidebar footer masthead modal overlay toc".split(), FIRM)
     | dict.fromkeys(
         "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu menus breadcrumb breadcrumbs"
         " cookie cookies consent gdpr popup newsletter subscribe subscription signup share sharing comment comments commentlist disqus reply"
-        " replies respond toolbar pagination pager login hidden skip".split(),
+        " replies respond toolbar pagination pager login hidden skip adsbygoogle editsection".split(),
         LAST,
     )
 )
@@ -56,8 +56,16 @@ LAYOUT = frozenset("with without no not non has have overflow backface layout te
 PLACES = frozenset(
     "area articles bar block bottom box button buttons col column container desktop fixed form frame global group icon icons inner item items"
     " label left link links list mobile outer panel post posts primary right row secondary section sections site slot sticky stories toggle top"
-    " unit units wrap wrapper zone".split()
+    " unit units wrap wrapper zone thread law info message".split()
 )
+#: Parts that may follow what names a thing beside the article, but not what names a state or an offer of the article itself.
+BODIES = frozenset("content text body".split())
+BESIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sidebar footer nav navbar navigation menu cookie cookies consent gdpr popup notice"
+    " notices notification notifications widget widgets related newsletter comment comments disqus reply replies toolbar promo social".split()
+)
+#: Whole names of readers' talk, which are an article's too: they cut only outside of articles and sections.
+TALK = frozenset("discussion discussions response responses".split())
 #: Before "header" or "banner" these name a part of the article.
 PARTS = frozenset("article chapter content entry page post section story title".split())
 COMMENTS = frozenset("comment comments reply replies".split())
@@ -83,6 +91,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl table".split())
 #: Text of the article whatever its length, where it stands beside it.
@@ -108,33 +117,52 @@ class Node:
         self.children: list[Node | str] = []
 
 
+def named(name: str) -> list[str]:
+    """The parts of a class or id, cut at signs, digits and humps; two that make a known word are one (side-bar)."""
+    out: list[str] = []
+    for part in WORD.findall(HUMP.sub("-", name).lower()):
+        if out and out[-1] + part in CUT_WORDS:
+            out[-1] += part
+        else:
+            out.append(part)
+    while len(out) > 1 and len(out[-1]) == 1:
+        out.pop()
+    return out
+
+
 def word_cut(name: str) -> int:
-    """How firmly a class or id cuts: its last part counts, or the last before PLACES."""
-    parts = WORD.findall(name)
+    """How firmly a class or id cuts: its last part counts, or the last before PLACES or, if it is BESIDE the article, BODIES."""
+    parts = named(name)
     if not LAYOUT.isdisjoint(parts):
         return 0
-    while len(parts) > 1 and parts[-1] in PLACES and parts[-1] not in CUT_WORDS:
-        parts.pop()
+    body = False
+    while len(parts) > 1 and parts[-1] not in CUT_WORDS and (parts[-1] in PLACES or parts[-1] in BODIES):
+        body |= parts.pop() in BODIES
     if not parts or parts[-1] not in CUT_WORDS or (parts[-1] in ("header", "banner") and not PARTS.isdisjoint(parts[:-1])):
         return 0
+    if body and parts[-1] not in BESIDE:
+        return 0
     return max(CUT_WORDS.get(p, 0) for p in parts)
 
 
 def is_cut(tag: str, attributes: str, section: bool = False) -> int:
-    """How firmly an element is cut, 0 for not at all; section: it lies in an article or section, whose headers are its own."""
+    """How firmly an element is cut, 0 for not at all; section: it lies in an article or section, whose headers and talk are its own."""
     if tag in CUT:
         return ALWAYS
     cut = 0 if tag == "header" and section else CUT_TAGS.get(tag, 0)
     if not attributes or (tag in KEEP_TAGS and tag != "article"):
         return cut
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+        name, written = name.lower(), a or b or c
+        value = written.lower()
         if tag == "article":
             # Only a reader's comment is an article that isn't kept.
-            if name == "class" and any(word_cut(w) and not COMMENTS.isdisjoint(WORD.findall(w)) for w in value.split()):
+            if name == "class" and any(word_cut(w) and not COMMENTS.isdisjoint(named(w)) for w in written.split()):
                 return LAST
         elif name in ("class", "id"):
-            words = max(map(word_cut, value.split()), default=0)
+            words = max(map(word_cut, written.split()), default=0)
+            if tag == "div" and not section and value in TALK and "sec" not in attributes.lower():
+                words = LAST
             cut = max(cut, words if words > MILD or tag not in HEADINGS else 0)
         elif name == "role" and value in CUT_ROLES:
             cut = max(cut, MILD if value in ROLES_MILD else FIRM if value not in ("navigation", "menu", "menubar", "toolbar") else ALWAYS)
@@ -268,7 +296,7 @@ def parse(html: str) -> Node:
             open_.close_nearest(("p",), P_BOUNDARY)
         if tag in CLOSES:
             open_.close_nearest(*CLOSES[tag])
-        node = Node(tag, open_.stack[-1], is_cut(tag, m[3], tag == "header" and bool(open_.nearest(("article", "section")))))
+        node = Node(tag, open_.stack[-1], is_cut(tag, m[3], tag in ("header", "div") and bool(open_.nearest(("article", "section")))))
         open_.stack[-1].children.append(node)
         if tag not in VOID and (tag in BLOCK or not m[3].endswith("/")):
             open_.push(node)

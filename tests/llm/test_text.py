@@ -215,6 +215,31 @@ def test_html_still_cuts_marked_elements():
     assert html_text.extract(f"<article><header><h1>Own</h1></header><p>{PROSE}</p></article>") == f"Own\n\n{PROSE}"
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "id=disqus_thread", "class=commentsSection", "class=commentThread", "id=comments_v2", "class=comment-content", "class=responses", "id=discussion",
+        "class=adsbygoogle", "class=advertisement-text", "class=AdUnit", "class=sidebarRight", "class=side-bar", "class=notification",
+        "class=cookie-law-info-bar", "class=gdpr-message", "class=mw-editsection", "class='x1 newsLetter'",
+    ],
+)
+def test_html_reads_names_by_their_parts(name):
+    page = f"<div><div class=post>{f'<p>{PROSE}</p>' * 7}</div><div {name}>{PROSE} {PROSE}</div></div>"
+    assert html_text.extract(page) == "\n\n".join([PROSE] * 7)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["class=hidden-content", "class=mainContentHeader", "class='subscription-content'", "class=sponsored-content-body", "id=skip-to-content", "class=Header_abc1X", "class='section discussion' id=discussion"],
+)
+def test_html_keeps_what_only_looks_marked(name):
+    assert html_text.extract(f"<div><div class=post><p>{PROSE}</p><div {name}><p>{PROSE} More.</p></div></div></div>") == f"{PROSE}\n\n{PROSE} More."
+
+
+def test_html_keeps_an_articles_own_discussion():
+    assert html_text.extract(f"<article><p>{PROSE}</p><div id=discussion><p>{PROSE} More.</p></div></article>") == f"{PROSE}\n\n{PROSE} More."
+
+
 SHORT = "This short section has one plain paragraph of text with no comma in it at all ok."
 REFERENCES = "".join(f"<li><a href={i}>Some longer title of a cited work {i}</a></li>" for i in range(4))
 
