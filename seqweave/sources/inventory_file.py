@@ -6,6 +6,7 @@ status: 'disabled' (no file given), 'missing' (can't be read), 'error' (read, bu
 from __future__ import annotations
 
 import zipfile
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -92,6 +93,41 @@ def load(spark: SparkSession, path: str | None, name_column: str | None = None,
     return Inventory("ok", None, headers, extra, spark.createDataFrame(entries, SCHEMA))
 
 
+class Loader:
+    """load() that reads a file again only if its time or size changed, or other columns or another sheet are asked for.
+
+    A parsed file is kept whether it held an inventory or not, as its text decides that; a file that can't be found is looked
+    for each time.  The last `most` are kept.  Spark's listing gives time and size; no content is opened for them.
+    """
+
+    def __init__(self, spark: SparkSession, most: int = 16):
+        self.spark, self.most, self.read = spark, most, 0
+        self._kept: OrderedDict[tuple, Inventory] = OrderedDict()
+
+    def load(self, path: str | None, name_column: str | None = None, sequence_column: str | None = None, sheet: str | None = None) -> Inventory:
+        stamp = self._stamp(path) if path else None
+        asked = (path, name_column, sequence_column, sheet)
+        if stamp is not None and (asked, stamp) in self._kept:
+            self._kept.move_to_end((asked, stamp))
+            return self._kept[asked, stamp]
+        self.read += 1
+        found = load(self.spark, path, name_column, sequence_column, sheet)
+        if stamp is not None and found.status in ("ok", "error"):
+            for old in [k for k in self._kept if k[0] == asked]:
+                del self._kept[old]
+            self._kept[asked, stamp] = found
+            while len(self._kept) > self.most:
+                self._kept.popitem(last=False)
+        return found
+
+    def _stamp(self, path: str) -> tuple | None:
+        try:
+            row = self.spark.read.format("binaryFile").load(path).select("modificationTime", "length").first()
+        except PySparkException:
+            return None
+        return tuple(row) if row else None
+
+
 def capped_reads(reads: DataFrame, name: str = "name", most: int = 50) -> tuple[DataFrame, int]:
     """The first `most` reads in natural order of their names, and how many were left out."""
     from ..functions.sequences import natural_key

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from seqweave.operators import inventory
@@ -28,6 +30,24 @@ def test_entries(spark, tmp_path, name):
     assert "not found" in I.load(spark, str(tmp_path / name), "nope").message
 
 
+def test_a_file_is_read_again_only_when_it_changes(spark, tmp_path):
+    path = tmp_path / "i.csv"
+    path.write_text("name,seq\na,ACGT\n")
+    loader = I.Loader(spark, most=2)
+    first = loader.load(str(path), "name", "seq")
+    assert first.status == "ok" and loader.load(str(path), "name", "seq") is first and loader.read == 1
+    assert loader.load(str(path), "name", "nope").status == "error" and loader.read == 2
+    assert loader.load(str(path), "name", "nope").status == "error" and loader.read == 2
+    path.write_text("name,seq\na,ACGT\nb,GG\n")
+    again = loader.load(str(path), "name", "seq")
+    assert again is not first and again.entries.count() == 2 and loader.read == 3
+    os.utime(path, (1, 1))
+    assert loader.load(str(path), "name", "seq") is not again and loader.read == 4
+    path.unlink()
+    assert loader.load(str(path), "name", "seq").status == "missing"
+    assert loader.load(None).status == "disabled"
+
+
 def test_reads_are_capped_in_natural_order(spark):
     df = spark.createDataFrame([("r10",), ("r2",), ("r1",)], "name string")
     kept, left = I.capped_reads(df, most=2)
